@@ -10,6 +10,8 @@ emptiest of them run empty or no exchange is left.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,31 +27,78 @@ CAPACITY = 4096
 GROUP = 16_384
 #: Sequences with free room that local search looks at, and exchanges it makes at most, in a group.
 OPEN, STEPS = 256, 20_000
-#: Words whose ids a Python worker remembers.
-REMEMBER = 600_000
+#: Words as they stand, and lower-cased runs of letters, whose ids a Python worker remembers.
+REMEMBER, REMEMBER_LETTERS = 600_000, 1_200_000
+_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 
 
-class _Ids(dict):
-    """A word's ids as little-endian unsigned 32-bit bytes, made when first asked for."""
+class _Ids:
+    """Words' ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
-        import os
+    A word that is letters, then perhaps other signs, has the ids of its lower-cased
+    letters and those of the signs, which the tokenizer takes apart as well. Letters are
+    encoded many at once; where one word ends shows in the vocabulary's word-end mark.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > REMEMBER:
-            self.clear()
-        new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        one, dot, both, upper = self._encode(["ab", ".", "ab.", "AB"])
+        self.splits = bool(self.ends.any()) and both == one + dot and upper == one
+        self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 20_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def _learn_letters(self, cores: set[str]) -> None:
+        new = cores.difference(self.letters)
+        if len(self.letters) + len(new) > REMEMBER_LETTERS:
+            self.letters.clear()
+            new = cores
+        new = list(new)
+        for at in range(0, len(new), 4_000):
+            part = new[at : at + 4_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stop) == len(part):
+                raw = ids.tobytes()
+                self.letters.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+            else:
+                self.letters.update(zip(part, self._encode(part), strict=True))
+
+    def of(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """Ids that hold at least all words of ``texts``."""
+        every: set[str] = set()
+        for words in texts:
+            every.update(words)
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > REMEMBER:
+            self.words.clear()
+            new = every
+        cut, plain = [], []
+        for w in new:
+            m = _LETTERS.fullmatch(w) if self.splits and "\u03a3" not in w and "\u0130" not in w else None
+            if m is None:
+                plain.append(w)
+            else:
+                cut.append((w, m[1].lower(), m[2]))
+        self._learn_letters({c[1] for c in cut})
+        signs = list({c[2] for c in cut})
+        told = dict(zip(signs, self._encode(signs), strict=True))
+        for w, core, sign in cut:
+            self.words[w] = self.letters[core] + told[sign] if sign else self.letters[core]
+        self.words.update(zip(plain, self._encode(plain), strict=True))
+        return self.words
 
 
 _LOADED: dict[str, _Ids] = {}
@@ -72,18 +121,9 @@ def _pieces(path: str, end_id: int, capacity: int):
                     t = b.column(1)[at + len(texts)].as_py() or ""
                     texts.append(t.replace("\n", " ").split(" "))
                     chars += len(t)
-                fresh: set[str] = set()
-                for words in texts:
-                    fresh.update(words)
-                fresh.difference_update(known)
-                if fresh:
-                    known.learn(fresh)
+                held = known.of(texts)
                 for k, words in enumerate(texts):
-                    try:
-                        ids = b"".join([known[w] for w in words]) + tail
-                    except KeyError:  # the memory was cleared for words of this very chunk
-                        known.learn(set(words) - known.keys())
-                        ids = b"".join([known[w] for w in words]) + tail
+                    ids = b"".join([held[w] for w in words]) + tail
                     key = b.column(0)[at + k].as_py()
                     out += [(key, n, n * capacity, len(part) // 4, zlib.crc32(part)) for n, s in enumerate(range(0, len(ids), 4 * capacity)) if (part := ids[s : s + 4 * capacity])]
                 at += len(texts)
