@@ -212,7 +212,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                     else:
                         local.extend((old[0], s, span) for s in old[1])
                         old[0], old[1] = d, [start]
-                if size > 12 * bucket_bytes:
+                if size > 4 * bucket_bytes:
                     yield from flush(held, local)
                     held, local, size = {}, [], 0
             yield from flush(held, local)
