@@ -5,6 +5,450 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from flowframe.functions import bits, types
+from flowframe.operators import combine, joins, metrics, ordered, replicate, routing, rsm, sync
+from flowframe.plans.spec import FlowSpec
+from flowframe.sources import delimited, relations
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spec(name: str, key: str, targets: int, kind: str = "shuffle") -> FlowSpec:
+    return FlowSpec(name, kind, ((key, "BIGINT"),), tuple(range(1, targets + 1)), aggregate="sum" if kind == "combine" else None)
+
+
+# -- definition ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('clientid', 'TINYINT', 0, 1), ('reqid', 'BIGUINT', 1, 8), ('key', 'INT', 9, 4), ('score', 'DOUBLE', 13, 8)) AS t(name, type, byte_offset, bytes)")
+def schema_layout(spark, sf_dir):
+    spec = FlowSpec("layout", "shuffle", (("clientid", "TINYINT"), ("reqid", "BIGUINT"), ("key", "INT"), ("score", "DOUBLE")), (1,))
+    return spark.createDataFrame(spec.layout, "name string, type string, byte_offset int, bytes int")
+
+
+# -- routing ------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 + 1 AS target_id FROM orders")
+def shuffle_key_rows(spark, sf_dir):
+    return routing.shuffle(_t(spark, sf_dir, "orders").select("o_orderkey"), _spec("orders", "o_orderkey", 4))
+
+
+@query("SELECT o_orderkey % 4 + 1 AS target_id, count(*) AS n_rows FROM orders GROUP BY 1")
+def shuffle_key_counts(spark, sf_dir):
+    return shuffle_key_rows(spark, sf_dir).groupBy("target_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT n_nationkey, CAST(1 AS BIGINT) AS target_id FROM nation")
+def shuffle_single_target(spark, sf_dir):
+    return routing.shuffle(_t(spark, sf_dir, "nation").select("n_nationkey"), _spec("one", "n_nationkey", 1))
+
+
+@query("SELECT o_orderkey, o_custkey % 3 + 1 AS target_id FROM orders")
+def shuffle_explicit_target(spark, sf_dir):
+    route = routing.explicit(F.col("o_custkey") % 3 + 1)
+    return routing.shuffle(_t(spark, sf_dir, "orders"), _spec("orders", "o_orderkey", 3), route).select("o_orderkey", "target_id")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_totalprice > 200000 THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 3 END AS BIGINT) AS target_id FROM orders")
+def shuffle_function_target(spark, sf_dir):
+    route = routing.by_function(lambda df: F.when(df.o_totalprice > 200000, 1).when(df.o_orderpriority == "1-URGENT", 2).otherwise(3))
+    return routing.shuffle(_t(spark, sf_dir, "orders"), _spec("orders", "o_orderkey", 3), route, check=True).select("o_orderkey", "target_id")
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey + 1 AS BIGINT) AS target_id FROM nation")
+def shuffle_identity_target(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").withColumn("client_id", (F.col("n_regionkey") + 1).cast("tinyint"))
+    return routing.shuffle(nation, _spec("clients", "n_nationkey", 5), routing.explicit("client_id")).select("n_nationkey", "target_id")
+
+
+@query("SELECT n_nationkey, n_regionkey, (((CAST(n_regionkey AS BIGINT) << 32) | n_nationkey) % 3) + 1 AS target_id FROM nation")
+def shuffle_raw_word(spark, sf_dir):
+    return routing.shuffle(_t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), _spec("pairs", "n_nationkey", 3), routing.by_raw_word("n_nationkey", "n_regionkey", (1, 2, 3)))
+
+
+@query("SELECT -o_orderkey AS k, CAST((CASE WHEN o_orderkey > 0 THEN CAST(18446744073709551616 AS HUGEINT) - o_orderkey ELSE 0 END) % 3 + 1 AS BIGINT) AS target_id FROM orders")
+def shuffle_unsigned_negative(spark, sf_dir):
+    return routing.shuffle(_t(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("k")), _spec("signed", "k", 3))
+
+
+@query("SELECT o_orderkey & 15 AS net_part, (o_orderkey >> 4) & 15 AS local_part, count(*) AS n_rows FROM orders GROUP BY 1, 2")
+def radix_histogram(spark, sf_dir):
+    return joins.partition_histogram(_t(spark, sf_dir, "orders"), "o_orderkey", 4, 4).withColumnRenamed("rows", "n_rows")
+
+
+@query("SELECT p AS partition_id, CAST(least(p // 5 + 1, 3) AS BIGINT) AS node_id, (SELECT count(*) FROM orders WHERE o_orderkey & 15 = p) AS n_rows FROM (SELECT unnest(range(0, 16)) AS p)")
+def radix_node_assignment(spark, sf_dir):
+    counts = _t(spark, sf_dir, "orders").groupBy(bits.radix(F.col("o_orderkey"), 4).alias("partition_id")).agg(F.count("*").alias("n_rows"))
+    return spark.range(16).select(F.col("id").alias("partition_id"), bits.node_of_partition(F.col("id"), 16, 3).alias("node_id")).join(counts, "partition_id", "left").fillna(0, ["n_rows"])
+
+
+@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS source_id, o_orderkey % 2 + 1 AS target_id, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1, 2")
+def multi_source_union(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey")
+    both = routing.union_sources(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1"))
+    return routing.shuffle(both, _spec("both", "o_orderkey", 2)).groupBy("source_id", "target_id").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
+
+
+@query()
+def shuffle_physical_placement(spark, sf_dir):
+    """Rows by target and the partition they lie in: one partition a target."""
+    placed = routing.shuffle(_t(spark, sf_dir, "orders").select("o_orderkey"), _spec("orders", "o_orderkey", 4), physical=True)
+    return placed.withColumn("partition_id", F.spark_partition_id()).groupBy("target_id", "partition_id").agg(F.count("*").alias("n_rows"))
+
+
+# -- replication and order ------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(t AS BIGINT) AS target_id FROM events CROSS JOIN (SELECT unnest(range(1, 4)) AS t)")
+def replicate_rows(spark, sf_dir):
+    return replicate.replicate(_t(spark, sf_dir, "events").select("event_id"), (1, 2, 3))
+
+
+@query("SELECT CAST(t AS BIGINT) AS target_id, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events CROSS JOIN (SELECT unnest(range(1, 5)) AS t) GROUP BY 1")
+def replicate_checksum(spark, sf_dir):
+    return replicate.replicate(_t(spark, sf_dir, "events").select("event_id"), (1, 2, 3, 4)).groupBy("target_id").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("id_sum"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events")
+def ordered_sequence(spark, sf_dir):
+    return replicate.total_order(_t(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id").select("event_id", "seq")
+
+
+@query("SELECT seq + 1 AS gap_start, nxt - 1 AS gap_end, nxt - seq - 1 AS missing FROM (SELECT event_id AS seq, lead(event_id) OVER (ORDER BY event_id) AS nxt FROM events WHERE event_id % 97 <> 0 AND event_id % 101 > 2) WHERE nxt > seq + 1")
+def ordered_gaps(spark, sf_dir):
+    return replicate.gaps(_t(spark, sf_dir, "events").where("event_id % 97 <> 0 and event_id % 101 > 2").select(F.col("event_id").alias("seq")))
+
+
+_ARRIVAL = "event_id - CASE WHEN event_id % 7 = 3 THEN 40 ELSE 0 END"
+
+
+@query(f"SELECT seq, arrival FROM (SELECT event_id AS seq, arrival, max(event_id) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM (SELECT event_id, ({_ARRIVAL}) * 10000000 + event_id AS arrival FROM events)) WHERE high IS NULL OR seq > high")
+def ordered_late_drop(spark, sf_dir):
+    came = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.expr(f"({_ARRIVAL}) * 10000000 + event_id").alias("arrival"))
+    return replicate.drop_late(came, "arrival")
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'LOST' ELSE 'OK' END AS status FROM events")
+def ordered_delivery_status(spark, sf_dir):
+    sent = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
+    return replicate.delivery_status(sent, sent.where("seq % 97 <> 0"))
+
+
+# -- combining ------------------------------------------------------------------------
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _rounded(df: DataFrame, columns: list[str] = _NUMBERS) -> DataFrame:  # noqa: B006
+    return df.withColumns({c: F.round(c, 2) + F.lit(0.0) for c in columns})
+
+
+def _whole(name: str, sql: str) -> None:
+    cols = ", ".join(f"round({sql.format(c)}, 2) + 0 AS {c}" for c in _NUMBERS)
+    query(f"SELECT {cols}, count(*) AS tuples_consumed FROM lineitem", f"combine_{name}")(
+        lambda spark, sf_dir: _rounded(combine.combine(_t(spark, sf_dir, "lineitem"), name, _NUMBERS))
+    )
+
+
+for _name, _sql in (("sum", "sum({})"), ("mean", "avg({})"), ("min", "min({})"), ("max", "max({})"), ("sub", "-sum({})")):
+    _whole(_name, _sql)
+
+
+@query("SELECT 0 AS l_quantity, 0 AS l_tax, count(*) AS tuples_consumed FROM lineitem")
+def combine_none(spark, sf_dir):
+    return combine.combine(_t(spark, sf_dir, "lineitem"), "none", ["l_quantity", "l_tax"])
+
+
+@query("SELECT n_regionkey, round(product(1 + n_nationkey), 2) AS n_factor, count(*) AS tuples_consumed FROM nation GROUP BY 1")
+def combine_mult(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").withColumn("n_factor", F.col("n_nationkey") + 1)
+    return _rounded(combine.combine(rows, "mult", ["n_factor"], ["n_regionkey"]), ["n_factor"])
+
+
+@query("SELECT greatest(0, max(c_acctbal)) AS top, least(0, min(c_acctbal)) AS low, 0.0::DOUBLE AS factor FROM customer")
+def combine_zero_seed(spark, sf_dir):
+    c = F.col("c_acctbal")
+    return _t(spark, sf_dir, "customer").agg(combine.aggregate("max", c, True).alias("top"), combine.aggregate("min", c, True).alias("low")).withColumn("factor", F.lit(0.0))
+
+
+@query("SELECT l_orderkey % 4 + 1 AS target_id, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice, count(*) AS tuples_consumed FROM lineitem GROUP BY 1")
+def combine_per_target(spark, sf_dir):
+    routed = routing.shuffle(_t(spark, sf_dir, "lineitem"), _spec("lines", "l_orderkey", 4, "combine"))
+    return _rounded(combine.combine(routed, "sum", ["l_quantity", "l_extendedprice"], ["target_id"]), ["l_quantity", "l_extendedprice"])
+
+
+@query("SELECT window_id, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS tuples_consumed FROM (SELECT o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS window_id FROM orders) GROUP BY 1")
+def combine_count_window(spark, sf_dir):
+    windows = combine.count_windows(_t(spark, sf_dir, "orders"), "o_orderkey", 100)
+    return _rounded(combine.combine(windows, "sum", ["o_totalprice"], ["window_id"]), ["o_totalprice"])
+
+
+@query("SELECT round, round(avg(o_totalprice), 2) AS o_totalprice, count(*) AS tuples_consumed FROM (SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS round FROM orders) GROUP BY 1")
+def combine_sync_rounds(spark, sf_dir):
+    rows = combine.sync_order(_t(spark, sf_dir, "orders").withColumn("source", F.col("o_custkey") % 4), "source", "o_orderkey")
+    return _rounded(combine.combine(rows.withColumn("round", F.col("round").cast("long")), "mean", ["o_totalprice"], ["round"]), ["o_totalprice"])
+
+
+@query("SELECT window_id, CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, count(*) AS tuples_consumed FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY r, source) - 1) // 8 AS window_id FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS source, row_number() OVER (PARTITION BY CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END ORDER BY o_orderkey) AS r FROM orders)) GROUP BY 1")
+def combine_sync_mixed_length(spark, sf_dir):
+    d = F.col("o_orderkey") % 10
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(d < 6, 0).when(d < 9, 1).otherwise(2).alias("source"))
+    return combine.combine(combine.sync_windows(rows, "source", "o_orderkey", 8), "sum", ["o_orderkey"], ["window_id"])
+
+
+@query("""
+WITH RECURSIVE r AS (
+  SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS window_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 50 AS i, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders
+), f(window_id, i, mean) AS (
+  SELECT window_id, i, x FROM r WHERE i = 0 UNION ALL SELECT f.window_id, r.i, f.mean + (r.x - f.mean) // (r.i + 1) FROM f JOIN r ON r.window_id = f.window_id AND r.i = f.i + 1
+) SELECT window_id, max_by(mean, i) AS mean, count(*) AS tuples_consumed FROM f GROUP BY 1""")
+def combine_int_running_mean(spark, sf_dir):
+    windows = combine.count_windows(_t(spark, sf_dir, "orders").withColumn("price", F.floor("o_totalprice")), "o_orderkey", 50)
+    return combine.running_integer_mean(windows, "price", "o_orderkey", ["window_id"])
+
+
+def _wrapped(b: int) -> None:
+    sql = f"SELECT o_custkey % 7 AS k, CAST(((sum(o_orderkey) + {1 << (b - 1)}) % {1 << b}) - {1 << (b - 1)} AS BIGINT) AS wrapped FROM orders GROUP BY 1"
+    query(sql, f"combine_wrap_int{b}")(
+        lambda spark, sf_dir: _t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("k")).agg(types.wrap(F.sum("o_orderkey"), b).alias("wrapped"))
+    )
+
+
+for _b in (8, 16, 32):
+    _wrapped(_b)
+
+
+@query("SELECT pos, round(sum(v), 4) AS value, count(*) AS tuples_consumed FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1")
+def combine_wide_vector(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
+    return combine.combine_vectors(rows, "sum", "embedding").select(F.col("pos").cast("long").alias("pos"), F.round("value", 4).alias("value"), "tuples_consumed")
+
+
+# -- joins --------------------------------------------------------------------------
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _t(spark, sf_dir, "orders").select("o_orderkey"), _t(spark, sf_dir, "lineitem").select("l_orderkey")
+
+
+@query("SELECT count(*) AS matches FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def radix_join_count(spark, sf_dir):
+    return joins.match_count(joins.radix_join(*_sides(spark, sf_dir), "o_orderkey", "l_orderkey"))
+
+
+@query("SELECT o_orderkey & 255 AS net_part, (o_orderkey >> 8) & 15 AS local_part, count(*) AS matches FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def radix_join_by_partition(spark, sf_dir):
+    return joins.match_count(joins.with_radix(joins.radix_join(*_sides(spark, sf_dir), "o_orderkey", "l_orderkey"), "o_orderkey", 8, 4), "net_part", "local_part")
+
+
+@query("SELECT count(*) AS matches FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def radix_join_physical(spark, sf_dir):
+    return joins.match_count(joins.radix_join(*_sides(spark, sf_dir), "o_orderkey", "l_orderkey", physical_bits=3))
+
+
+@query("SELECT count(*) AS matches FROM supplier JOIN lineitem ON s_suppkey = l_suppkey")
+def replicate_join_count(spark, sf_dir):
+    return joins.match_count(joins.replicate_join(_t(spark, sf_dir, "supplier").select("s_suppkey"), _t(spark, sf_dir, "lineitem").select("l_suppkey"), "s_suppkey", "l_suppkey"))
+
+
+@query("SELECT l_orderkey % 4 + 1 AS fragment, count(*) AS matches FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")
+def replicate_join_by_fragment(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % 4 + 1).alias("fragment"))
+    return joins.match_count(joins.replicate_join(_t(spark, sf_dir, "part").select("p_partkey"), lines, "p_partkey", "l_partkey"), "fragment")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def join_unmatched(spark, sf_dir):
+    orders, lines = _sides(spark, sf_dir)
+    return joins.unmatched(orders, lines, "o_orderkey", "l_orderkey")
+
+
+@query("""
+WITH n AS (SELECT unnest(range(0, 4)) AS node), l AS (SELECT unnest(range(0, 1003)) AS key),
+r AS (SELECT node, (3 - node) * 250 AS s, CASE WHEN node = 0 THEN 1003 ELSE (4 - node) * 250 END AS e, CASE WHEN node = 0 THEN 2510 ELSE 2506 + 0 END AS dummy FROM n),
+k AS (SELECT node, s + i % (e - s + 1) AS key FROM r, LATERAL (SELECT unnest(range(0, CASE WHEN node = 0 THEN 10030 // 4 + 10030 % 4 ELSE 10030 // 4 END)) AS i))
+SELECT count(*) AS matches, (SELECT count(*) FROM k) AS right_rows FROM l JOIN k ON l.key = k.key""")
+def pkfk_join_generated(spark, sf_dir):
+    left, right = relations.pkfk(spark, 1003, 10030, 4)
+    found = joins.match_count(joins.radix_join(left.withColumnRenamed("key", "lk"), right.withColumnRenamed("key", "rk"), "lk", "rk"))
+    return found.withColumn("right_rows", F.lit(right.count()))
+
+
+# -- replicated state machine ---------------------------------------------------------
+
+_COMMANDS = "SELECT event_id + 1 AS slot, CASE WHEN event_type = 'purchase' THEN 'WRITE' ELSE 'READ' END AS op, user_id AS key, CAST(round(value * 100) AS BIGINT) AS value, event_type, ts FROM events"
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "purchase", rsm.WRITE).otherwise(rsm.READ)
+    return _t(spark, sf_dir, "events").select("event_id", op.alias("op"), F.col("user_id").alias("key"), F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rsm.log(_commands(spark, sf_dir), "event_id").select("slot", "op", "key", "value")
+
+
+@query(f"SELECT slot, op, key, value FROM ({_COMMANDS})")
+def rsm_log(spark, sf_dir):
+    return _log(spark, sf_dir)
+
+
+@query(f"SELECT CAST((SELECT min(slot) - 1 FROM ({_COMMANDS}) WHERE slot % 611 = 0) AS BIGINT) AS gapless_until, CAST(max(slot) AS BIGINT) AS committed FROM ({_COMMANDS}) WHERE slot % 611 <> 0")
+def rsm_gapless_prefix(spark, sf_dir):
+    return rsm.gapless_until(_log(spark, sf_dir).where("slot % 611 <> 0"))
+
+
+def _kv(policy: str) -> None:
+    pick = {"last": "last_value", "first": "first_value"}[policy]
+    sql = f"SELECT slot, key, result, result IS NOT NULL AS found FROM (SELECT slot, key, op, {pick}(CASE WHEN op = 'WRITE' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS result FROM ({_COMMANDS})) WHERE op = 'READ'"
+    query(sql, f"rsm_kv_reads_{policy}")(lambda spark, sf_dir: rsm.kv_reads(_log(spark, sf_dir), policy))
+
+
+for _policy in ("last", "first"):
+    _kv(_policy)
+
+
+@query(f"SELECT key, max_by(value, slot) AS value FROM ({_COMMANDS}) WHERE op = 'WRITE' GROUP BY 1")
+def rsm_kv_state(spark, sf_dir):
+    return rsm.kv_state(_log(spark, sf_dir))
+
+
+def _phase(n: int, sign: str) -> None:
+    sql = f"SELECT event_id, proposal, highest_seen, proposal {sign} highest_seen AS granted FROM (SELECT event_id, p AS proposal, coalesce(max(p) OVER (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS highest_seen FROM (SELECT event_id, user_id, event_id // 10 + (event_id * 7) % 50 AS p FROM events))"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _t(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("acceptor"), F.expr("event_id div 10 + (event_id * 7) % 50").alias("proposal"))
+        return (rsm.phase1 if n == 1 else rsm.phase2)(rows, "event_id", "acceptor").select("event_id", "proposal", "highest_seen", "granted")
+
+    query(sql, f"rsm_phase{n}")(run)
+
+
+_phase(1, ">")
+_phase(2, ">=")
+
+
+@query("SELECT reqid, event_id AS committed_by FROM (SELECT user_id AS reqid, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 3")
+def rsm_quorum_commit(spark, sf_dir):
+    acks = _t(spark, sf_dir, "events").select(F.col("user_id").alias("reqid"), "event_id")
+    return rsm.quorum_commit(acks, 5, "reqid", "event_id").select("reqid", F.col("event_id").alias("committed_by"))
+
+
+@query("""
+WITH a AS (SELECT event_id // 5 AS reqid, event_id, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS viewid, event_id // 5 + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS slot, event_id % 5 = 2 AS leader FROM events),
+f AS (SELECT reqid, arg_min(viewid, event_id) AS viewid, arg_min(slot, event_id) AS slot FROM a GROUP BY 1)
+SELECT reqid, f.viewid, f.slot, CAST(sum(CASE WHEN a.viewid = f.viewid AND a.slot = f.slot THEN 1 ELSE 0 END) AS BIGINT) AS agreeing, bool_or(a.viewid = f.viewid AND a.slot = f.slot AND leader) AS leader_agrees,
+ sum(CASE WHEN a.viewid = f.viewid AND a.slot = f.slot THEN 1 ELSE 0 END) >= 3 AND bool_or(a.viewid = f.viewid AND a.slot = f.slot AND leader) AS committed FROM a JOIN f USING (reqid) GROUP BY ALL""")
+def rsm_leader_quorum(spark, sf_dir):
+    acks = _t(spark, sf_dir, "events").select(
+        F.expr("event_id div 5").alias("reqid"), "event_id", F.when(F.col("event_type") == "error", 2).otherwise(1).alias("viewid"),
+        F.expr("event_id div 5 + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END").alias("slot"), (F.col("event_id") % 5 == 2).alias("leader"),
+    )
+    return rsm.leader_quorum(acks, 5, "reqid", "event_id")
+
+
+@query(f"""
+WITH c AS ({_COMMANDS}), l AS (SELECT slot, CASE WHEN slot % 50 = 0 THEN 'NOOP' ELSE op END AS op, CASE WHEN slot % 50 = 0 THEN NULL ELSE key END AS key, CASE WHEN slot % 50 = 0 THEN NULL ELSE value END AS value FROM c), f AS (SELECT * FROM c WHERE slot % 33 <> 0)
+SELECT slot, CASE WHEN l.op = 'NOOP' THEN 'NOOP' WHEN f.slot IS NULL THEN l.op ELSE f.op END AS op, CASE WHEN l.op = 'NOOP' THEN NULL WHEN f.slot IS NULL THEN l.key ELSE f.key END AS key,
+ CASE WHEN l.op = 'NOOP' THEN NULL WHEN f.slot IS NULL THEN l.value ELSE f.value END AS value, CASE WHEN l.op = 'NOOP' THEN 'noop' WHEN f.slot IS NULL THEN 'leader' ELSE 'follower' END AS source FROM l FULL JOIN f USING (slot)""")
+def rsm_gap_merge(spark, sf_dir):
+    entries = _log(spark, sf_dir)
+    lost = F.col("slot") % 50 == 0
+    leader = entries.select("slot", F.when(lost, rsm.NOOP).otherwise(F.col("op")).alias("op"), F.when(~lost, F.col("key")).alias("key"), F.when(~lost, F.col("value")).alias("value"))
+    return rsm.merge_gaps(leader, entries.where("slot % 33 <> 0"))
+
+
+@query(f"WITH c AS ({_COMMANDS}) SELECT count(*) AS checked, CAST(sum(CASE WHEN slot % 33 <> 0 AND slot % 41 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, CAST(sum(CASE WHEN slot % 33 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM c")
+def rsm_log_verify(spark, sf_dir):
+    entries = _log(spark, sf_dir)
+    other = entries.where("slot % 33 <> 0").withColumn("value", F.when(F.col("slot") % 41 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return rsm.verify(entries, other)
+
+
+@query("SELECT a.event_id AS reqid, b.event_id - 1 AS response FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 13 <> 0) b ON b.event_id = a.event_id")
+def rsm_response_match(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select(F.col("event_id").alias("reqid"))
+    return rsm.match_responses(events, events.where("reqid % 13 <> 0").select("reqid", (F.col("reqid") - 1).alias("response")))
+
+
+# -- figures and text -----------------------------------------------------------------
+
+_LATENCY = "CAST(round(value * 100) AS BIGINT)"
+
+
+def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("ns"))
+
+
+@query(f"""
+WITH s AS (SELECT event_type, ns, row_number() OVER (PARTITION BY event_type ORDER BY ns) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, {_LATENCY} AS ns FROM events)),
+p AS (SELECT CAST(unnest([0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.999]) AS DOUBLE) AS percentile) SELECT event_type, percentile, ns AS latency FROM s JOIN p ON i = CAST(floor(n * percentile) AS BIGINT)""")
+def latency_percentiles(spark, sf_dir):
+    return metrics.percentiles(_latencies(spark, sf_dir), "ns", "event_type")
+
+
+@query(f"SELECT event_type, count(ns) AS n, min(ns) AS min_latency, max(ns) AS max_latency, CAST(sum(ns) // count(ns) AS BIGINT) AS avg_latency FROM (SELECT event_type, {_LATENCY} AS ns FROM events) GROUP BY 1")
+def latency_summary(spark, sf_dir):
+    return metrics.summary(_latencies(spark, sf_dir), "ns", "event_type")
+
+
+@query("SELECT event_type, CAST(count(*) * 1000 // (epoch_ms(max(ts)) - epoch_ms(min(ts))) AS BIGINT) AS per_second, count(*) AS n FROM events GROUP BY 1")
+def throughput(spark, sf_dir):
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    rows = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return rows.select("event_type", metrics.throughput(F.col("n"), ms("b") - ms("a")).alias("per_second"), "n")
+
+
+@query("SELECT o_orderkey % 4 + 1 AS target_id, round(count(*) * 16 / 0.25 / 1e6, 6) AS mb_per_second FROM orders GROUP BY 1")
+def bandwidth(spark, sf_dir):
+    return shuffle_key_counts(spark, sf_dir).select("target_id", F.round(metrics.bandwidth(F.col("n_rows"), 16, F.lit(0.25)), 6).alias("mb_per_second"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS beyond FROM customer")
+def delimited_field(spark, sf_dir):
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", delimited.field(line, 2).alias("segment"), delimited.field(line, 9).alias("beyond"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey + 5 END AS size FROM nation")
+def varchar_len(spark, sf_dir):
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "bigint").otherwise(F.concat(F.lit("varchar("), (F.col("n_nationkey") + 5).cast("string"), F.lit(")")))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", delimited.varchar_length(kind).alias("size"))
+
+
+@query("SELECT o_orderkey, (o_custkey << 32) | o_orderkey AS word, o_custkey AS key, o_orderkey AS value, o_orderkey + ((o_custkey >> 8) << 35) AS radix_word, o_custkey AS radix_key, o_orderkey AS radix_value FROM orders")
+def pack_unpack(spark, sf_dir):
+    k, v = F.col("o_custkey"), F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", bits.pack_pair(k, v).alias("word"), bits.pack_radix(k, v, 8).alias("radix_word"), bits.radix(k, 8).alias("p"))
+    key, value = bits.unpack_pair(F.col("word"))
+    rkey, rvalue = bits.unpack_radix(F.col("radix_word"), F.col("p"), 8)
+    return rows.select("o_orderkey", "word", key.alias("key"), value.alias("value"), "radix_word", rkey.alias("radix_key"), rvalue.alias("radix_value"))
+
+
+@query()
+def barrier_arrivals(spark, sf_dir):
+    return sync.arrivals(spark, 2)
+
+
+@query("SELECT event_id, CAST(coalesce(max(event_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS BIGINT) AS high FROM events")
+def ordered_running_max(spark, sf_dir):
+    return ordered.running_max(_t(spark, sf_dir, "events").select("event_id"), "event_id", "event_id").fillna(-1, ["high"])
