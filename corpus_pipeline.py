@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm import langid, packing, queries, simhash, substring_dedup
-from flowframe.llm.common import checkpoint_dir, is_training, table
+from flowframe.llm.common import broadcast_if_small, checkpoint_dir, is_training, settle, table
 from flowframe.llm.decontaminate import decontaminate
 
 #: Documents whose language is less certain than this are rejected.
@@ -18,27 +18,25 @@ LEAST_CONFIDENCE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that can be told."""
     model = langid.train(docs.where(is_training()))
-    sure = langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE))
-    return docs.join(sure.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    told = docs.withColumn("_told", langid.prediction(spark, model, F.col("text")))
+    return told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= LEAST_CONFIDENCE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group."""
-    groups = simhash.simhash_groups(docs).where("doc_id = component_id")
-    return docs.join(groups.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    copies = settle(simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(broadcast_if_small(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; documents that are nothing else go."""
-    kept = substring_dedup.substring_dedup(docs).where("n_removed < n_words or n_words = 0").dropDuplicates(["doc_id"])
-    cut = kept.select("doc_id", "n_removed", F.col("kept_text").alias("kept"))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    kept = substring_dedup.substring_dedup(docs, keep=others).where("n_removed < n_words or n_words = 0")
     changed = F.col("n_removed") > 0
-    return docs.join(cut, "doc_id").select(*[
-        F.when(changed, F.col("kept")).otherwise(F.col(c)).alias(c) if c == "text"
-        else F.when(changed, F.length("kept")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-        else c
-        for c in docs.columns
-    ])
+    return kept.withColumns({
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType),
+    }).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +42,34 @@ def sample_fraction(key: Column, fraction: float) -> Column:
     if fraction >= 1:
         return F.lit(True)
     return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000) + 1)
+
+
+#: Rows up to which a side is broadcast; it is counted first, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_KEPT: dict[str, object] = {}
+
+
+def worker_cache(name: str, make=dict):
+    """What a Python worker keeps between tasks under a name; whatever it kept for another operator goes.
+
+    Workers are reused, so without this each would hold the caches of all operators it ran.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        give_back()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

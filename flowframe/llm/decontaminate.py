@@ -14,14 +14,12 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import broadcast_if_small, settle
 
 WINDOW, SUBSTITUTIONS = 16, 2
 MASKS = ((0, 1, 3, 4, 6, 11, 12), (0, 3, 5, 6, 7, 9, 10))
 #: Fewest tokens of an item that can be found.
 SHORTEST = 13
-#: Rows up to which a side is broadcast; it is counted first, and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: str) -> Column:
@@ -59,10 +57,6 @@ def _hashed(df: DataFrame, key: str, masks: tuple) -> DataFrame:
     return s.select(key, "seed", "size", F.expr("at % size").cast("int").alias("pos"), F.expr("at div size").cast("int").alias("mask"))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple = MASKS, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, start, matched, n_tokens): each benchmark item found in each document.
 
@@ -78,7 +72,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item = items.select(F.col(item_col).alias("item_id"), tokens(item_text).alias("tokens")).where(F.col("item_id").isNotNull() & (F.size("tokens") >= max(SHORTEST, span)))
     ends = F.element_at(F.array(*[F.lit(m[-1]) for m in masks]), F.col("mask") + 1)
     seeds = settle(_hashed(item, "item_id", masks).where(F.col("pos") + ends < F.col("size")).select("item_id", "seed", F.col("pos").alias("item_pos")).distinct())
-    hits = _hashed(word, "doc_id", masks).select("doc_id", "seed", "pos").join(_small(seeds), "seed")
+    hits = _hashed(word, "doc_id", masks).select("doc_id", "seed", "pos").join(broadcast_if_small(seeds), "seed")
     hits = settle(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct())
     tolerated = F.lit(-1)
     for size in range(span, window):
@@ -95,9 +89,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return F.struct(F.array_max(windows).alias("best"), total(values).alias("matched"))
 
     aligned = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(_small(hits), "doc_id")
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(broadcast_if_small(hits), "doc_id")
         .select("doc_id", "item_id", "start", tokens("text").alias("tokens"))
-        .join(_small(item.withColumnRenamed("tokens", "item_tokens")), "item_id")
+        .join(broadcast_if_small(item.withColumnRenamed("tokens", "item_tokens")), "item_id")
         .select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), width.alias("width"), tolerated.alias("tolerated"), F.transform(F.array(same), judged)[0].alias("got"))
     )
     found = aligned.where(F.col("got.best") >= F.col("width") - F.col("tolerated")).select("doc_id", "item_id", "start", "got.matched", "n_tokens")
@@ -107,4 +101,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found."""
     bad = settle(contaminated(docs, items, id_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(_small(bad), id_col, "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(bad), id_col, "left_anti").select(*docs.columns)

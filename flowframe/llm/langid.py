@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sample_fraction
+from .common import sample_fraction, worker_cache
 
 #: Labelled documents a language, words and n-grams of one length kept a language.
 DOCS_PER_LANGUAGE, WORDS, GRAMS = 3_000, 20_000, 10_000
@@ -47,7 +46,7 @@ class LanguageModel:
                 if rows:
                     got = self.gram_rows[rows].mean(axis=0)
                     break
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[word] = got
         return got
@@ -123,17 +122,24 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words: in
     return LanguageModel(languages, word_index, word_rows, gram_index, np.concatenate(parts) if parts else np.zeros((0, len(languages))), longest)
 
 
+def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """(lang_pred, score) of a text column as a struct; rows stay where they are."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        worker_cache("langid")
+        got = [held.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+
+    return predict(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score double) per row, from the whole text alone.
 
     Null texts and those without a letter are ``und`` with score 0; so is all when nothing
     was learned. Ties go to the first language by name. Other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [held.value.predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), prediction(docs.sparkSession, model, F.col(text_col)).alias("got"))
+    return got.select("doc_id", "got.lang_pred", "got.score")

@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_fraction, settle
+from .common import give_back, sample_fraction, settle, worker_cache
 
 WINDOW = 50
 MINIMISER = 8
 #: Bytes of packed strings that one bucket should hold.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Buckets that a task counts, one after the other, at most.
+BUCKETS_A_TASK = 16
 #: Documents sampled for frequent runs, and in how many of them a run is frequent.
 SAMPLE_DOCS, FREQUENT_DOCS = 4_000, 20
 #: Bytes of text handled at once.
@@ -175,6 +177,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
     buckets = max(1, -(-3 * n_bytes // bucket_bytes))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substring_dedup")
         press = zstandard.ZstdCompressor(level=1)
         turn = 0
 
@@ -212,10 +215,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                     else:
                         local.extend((old[0], s, span) for s in old[1])
                         old[0], old[1] = d, [start]
-                if size > 4 * bucket_bytes:
+                if size > 8 * bucket_bytes:
                     yield from flush(held, local)
                     held, local, size = {}, [], 0
             yield from flush(held, local)
+        give_back()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -256,26 +260,29 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
             yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4"))], ["doc_id", "start", "n"])
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket long, ids binary, starts binary, lengths binary, words binary")
-    return packed.groupBy("bucket").applyInArrow(count, _SPANS)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
+    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, _SPANS)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, kept_text, n_words long, n_removed long) per row of ``docs``.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, kept_text, n_words long, n_removed long) per row of ``docs``.
 
     Words are runs of anything but ASCII white space, unchanged. A word goes when a
     window covering it also starts in a row with a smaller id. Null text has no words
     and an empty kept text; a row with a null id keeps all and removes nothing elsewhere;
     rows that repeat an id count as one document. Texts shorter than a window never match.
-    Other columns of ``docs`` are not read.
+    Columns of ``docs`` other than ``keep`` are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = duplicate_spans(rows.where("doc_id is not null"), window, bucket_bytes)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    spans = duplicate_spans(rows.where("doc_id is not null").select("doc_id", "text"), window, bucket_bytes)
     spans = settle(spans).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, kept, totals, gone = b.column(0), [], [], []
-            for t, s in zip(b.column(1).cast(pa.binary()), b.column(2), strict=True):
+    names = ["doc_id", *[f"_{k}" for k in range(len(keep))]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
+            kept, totals, gone = [], [], []
+            for t, s in zip(b.column("text").cast(pa.binary()), b.column("spans"), strict=True):
                 words = (t.as_py() or b"").split()
                 n = len(words)
                 if s.is_valid:
@@ -287,6 +294,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 kept.append(b" ".join(words))
                 totals.append(n)
                 gone.append(n - len(words))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "kept_text", "n_words", "n_removed"])
-
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, kept_text string, n_words long, n_removed long")
+            made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, "kept_text", "n_words", "n_removed"])
+        give_back()
+
+    joined = rows.join(spans, "doc_id", "left").select(*names, "text", "spans")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
+    out = joined.mapInArrow(cut, f"{schema}, kept_text string, n_words long, n_removed long")
+    return out.select("doc_id", *[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "kept_text", "n_words", "n_removed")
