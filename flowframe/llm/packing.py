@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, worker_cache
+
 CAPACITY = 4096
 #: Pieces that one group packs together.
 GROUP = 16_384
 #: Sequences with free room that local search looks at, and exchanges it makes at most, in a group.
 OPEN, STEPS = 256, 20_000
 #: Words as they stand, and lower-cased runs of letters, whose ids a Python worker remembers.
-REMEMBER, REMEMBER_LETTERS = 600_000, 1_200_000
-_LETTERS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+REMEMBER, REMEMBER_LETTERS = 200_000, 500_000
+#: Signs that, after letters, the tokenizer takes for a piece of its own.
+SIGNS = ".,;:!?%$#&*+=-/|()[]{}<>@~^\""
 
 
 class _Ids:
@@ -42,7 +44,7 @@ class _Ids:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -50,7 +52,13 @@ class _Ids:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         one, dot, both, upper = self._encode(["ab", ".", "ab.", "AB"])
-        self.splits = bool(self.ends.any()) and both == one + dot and upper == one
+        # for lower-cased letters nothing is left to do but composing, splitting at blanks and merging
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.normalizer = normalizers.NFC()
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = ["ab", "\u00e9t\u00e9", "stra\u00dfe", "e\u0301t"]
+        same = self._encode(probe) == [np.array(self.bare.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in probe]
+        self.splits = bool(self.ends.any()) and both == one + dot and upper == one and same
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
@@ -66,9 +74,10 @@ class _Ids:
             self.letters.clear()
             new = cores
         new = list(new)
-        for at in range(0, len(new), 4_000):
-            part = new[at : at + 4_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            lots = self.bare.encode_batch_fast([" ".join(part[k : k + 500]) for k in range(0, len(part), 500)], add_special_tokens=False)
+            ids = np.array([i for e in lots for i in e.ids], "<u4")
             stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stop) == len(part):
                 raw = ids.tobytes()
@@ -85,39 +94,36 @@ class _Ids:
         if len(self.words) + len(new) > REMEMBER:
             self.words.clear()
             new = every
-        cut, plain = [], []
+        plain, words, cores, signs = [], [], [], []
         for w in new:
-            m = _LETTERS.fullmatch(w) if self.splits and "\u03a3" not in w and "\u0130" not in w else None
-            if m is None:
-                plain.append(w)
+            core = w if w.isalpha() else w.rstrip(SIGNS)
+            if self.splits and core.isalpha() and (core.isascii() or "\u03a3" not in core and "\u0130" not in core):
+                words.append(w)
+                cores.append(core.lower())
+                signs.append(w[len(core) :])
             else:
-                cut.append((w, m[1].lower(), m[2]))
-        self._learn_letters({c[1] for c in cut})
-        signs = list({c[2] for c in cut})
-        told = dict(zip(signs, self._encode(signs), strict=True))
-        for w, core, sign in cut:
-            self.words[w] = self.letters[core] + told[sign] if sign else self.letters[core]
+                plain.append(w)
+        self._learn_letters(set(cores))
+        several = list(set(signs))
+        told = dict(zip(several, self._encode(several), strict=True))
+        letters = self.letters
+        self.words.update((w, letters[c] + told[s] if s else letters[c]) for w, c, s in zip(words, cores, signs, strict=True))
         self.words.update(zip(plain, self._encode(plain), strict=True))
         return self.words
 
 
-_LOADED: dict[str, _Ids] = {}
-
-
 def _pieces(path: str, end_id: int, capacity: int):
     """Words between blanks and line ends are tokenized apart: the vocabulary drops white space and never joins over it."""
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = _Ids(path)
-        known = _LOADED[path]
+        known = worker_cache(f"packing {path}", lambda: _Ids(path))
         for b in batches:
             out: list[tuple] = []
             at, size = 0, b.num_rows
             while at < size:
                 texts, chars = [], 0
-                while at + len(texts) < size and chars < 4 << 20:
+                while at + len(texts) < size and chars < 1 << 20:
                     t = b.column(1)[at + len(texts)].as_py() or ""
                     texts.append(t.replace("\n", " ").split(" "))
                     chars += len(t)
@@ -130,6 +136,7 @@ def _pieces(path: str, end_id: int, capacity: int):
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return run
 
