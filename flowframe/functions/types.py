@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,7 @@ def struct(columns: list[tuple[str, str]]) -> T.StructType:
 def unsigned(key: Column) -> Column:
     """A signed 64-bit value read as unsigned."""
     wide = key.cast("decimal(20,0)")
-    return F.when(key < 0, wide + F.lit(TWO_64).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(key < 0, wide + F.lit(Decimal(TWO_64)).cast("decimal(20,0)")).otherwise(wide)
 
 
 def unsigned_mod(key: Column, n: int) -> Column:
@@ -59,6 +61,6 @@ def wrap(value: Column, bits: int) -> Column:
 
 def wrap_long(total: Column) -> Column:
     """A DECIMAL(38,0) total as it would stand in 64 signed bits."""
-    two = F.lit(TWO_64).cast("decimal(38,0)")
+    two = F.lit(Decimal(TWO_64)).cast("decimal(38,0)")
     low = F.pmod(total.cast("decimal(38,0)"), two)
-    return F.when(low >= F.lit(1 << 63).cast("decimal(38,0)"), low - two).otherwise(low).cast("long")
+    return F.when(low >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), low - two).otherwise(low).cast("long")
