@@ -203,10 +203,11 @@ def combine_count_window(spark, sf_dir):
     return _rounded(combine.combine(windows, "sum", ["o_totalprice"], ["window_id"]), ["o_totalprice"])
 
 
-@query("SELECT round, round(avg(o_totalprice), 2) AS o_totalprice, count(*) AS tuples_consumed FROM (SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS round FROM orders) GROUP BY 1")
+@query("SELECT round, round(avg(o_totalprice), 4) AS o_totalprice, count(*) AS tuples_consumed FROM (SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS round FROM orders) GROUP BY 1")
 def combine_sync_rounds(spark, sf_dir):
     rows = combine.sync_order(_t(spark, sf_dir, "orders").withColumn("source", F.col("o_custkey") % 4), "source", "o_orderkey")
-    return _rounded(combine.combine(rows.withColumn("round", F.col("round").cast("long")), "mean", ["o_totalprice"], ["round"]), ["o_totalprice"])
+    found = combine.combine(rows.withColumn("round", F.col("round").cast("long")), "mean", ["o_totalprice"], ["round"])
+    return found.withColumn("o_totalprice", F.round("o_totalprice", 4))  # means of four prices end in quarters of a cent
 
 
 @query("SELECT window_id, CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, count(*) AS tuples_consumed FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY r, source) - 1) // 8 AS window_id FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS source, row_number() OVER (PARTITION BY CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END ORDER BY o_orderkey) AS r FROM orders)) GROUP BY 1")
