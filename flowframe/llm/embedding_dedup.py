@@ -5,7 +5,8 @@ least ``c``. Each vector belongs to the cell of its nearest pivot. By the triang
 inequality a vector within ``r`` of a member of another cell is at most ``2r`` further
 from that cell's pivot than from its own; only such vectors are copied over, less those
 that lie further than ``r`` behind the plane between the two pivots. Cells are then
-joined independently and every vector counts its links in its own cell alone.
+joined independently and every vector counts its links in its own cell alone. A label
+without a pivot is a single cell.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .components import connected_components, forest
 COSINE = 0.93
 #: Distinct vectors a cell should own, pivots in all (they are broadcast), and rows that one task compares at once.
 CELL, MAX_PIVOTS, TILE = 2_000, 4_096, 8_192
+#: Vectors measured against the pivots at once.
+SLICE = 512
 
 
 def _unit(col: pa.Array, dim: int) -> np.ndarray:
@@ -33,34 +36,40 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def _assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
-    """A row per vector and cell that needs it: (cell, own, rep, n, vec)."""
+    """A row per vector and cell that needs it: (part, cell, own, rep, n, vec); ``pivots`` holds the unit pivots of parts that have some."""
     held = distinct.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("part").to_numpy(zero_copy_only=False)
             for key in np.unique(keys):
-                rows = b.filter(pa.array(keys == key))
-                cells, centres = held.value[int(key)]
-                vec = rows.column("embedding")
-                x = _unit(vec, centres.shape[1])
-                dist = np.sqrt(np.maximum(0, 2 - 2 * x @ centres.T))
-                home = dist.argmin(axis=1)
-                nearest = dist[np.arange(len(x)), home][:, None]
-                apart = np.linalg.norm(centres[home][:, None] - centres[None], axis=2)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    behind = (dist**2 - nearest**2) / (2 * apart)
-                need = (dist <= nearest + 2 * radius + 1e-9) & ~(behind > radius + 1e-6)
-                need[np.arange(len(x)), home] = True
-                i, c = np.nonzero(need)
-                raw = x.tobytes()
-                w = 8 * x.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[c]), pa.array(home[i] == c), rows.column("rep").take(pa.array(i)), rows.column("n").take(pa.array(i)), pa.array([raw[k * w : (k + 1) * w] for k in i.tolist()], pa.binary())],
-                    ["cell", "own", "rep", "n", "vec"],
-                )
-
-    return distinct.select("part", "rep", "n", "embedding").mapInArrow(run, "cell long, own boolean, rep long, n long, vec binary")
+                of_key = b.filter(pa.array(keys == key))
+                for rows in (of_key.slice(at, SLICE) for at in range(0, of_key.num_rows, SLICE)):
+                    vec = rows.column("embedding")
+                    x = _unit(vec, len(vec[0]))
+                    every = np.arange(len(x))
+                    if (centres := held.value.get(int(key))) is None:  # one cell for all
+                        i = every
+                        c = home = np.zeros(len(x), np.int64)
+                    else:
+                        square = np.maximum(0, 2 - 2 * x @ centres.T)
+                        dist = np.sqrt(square)
+                        home = dist.argmin(axis=1)
+                        nearest = dist[every, home][:, None]
+                        apart = np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
+                        # pivots that nearly coincide have no plane between them to go by
+                        beyond = (apart > 1e-3) & (square - nearest**2 > 2 * apart * (radius + 1e-6))
+                        need = (dist <= nearest + 2 * radius + 1e-9) & ~beyond
+                        need[every, home] = True
+                        i, c = np.nonzero(need)
+                    raw = x.tobytes()
+                    w = 8 * x.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(i), key)), pa.array(c), pa.array(home[i] == c), rows.column("rep").take(pa.array(i)), rows.column("n").take(pa.array(i)), pa.array([raw[k * w : (k + 1) * w] for k in i.tolist()], pa.binary())],
+                        ["part", "cell", "own", "rep", "n", "vec"],
+                    )
+
+    return distinct.select("part", "rep", "n", "embedding").mapInArrow(run, "part long, cell long, own boolean, rep long, n long, vec binary")
 
 
 def _compare(cosine: float):
@@ -110,30 +119,24 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     distinct = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     distinct = settle(distinct.withColumn("part", F.xxhash64("label", F.size("embedding"))))
     total = distinct.count()
-    per = distinct.groupBy("part").agg(F.count("*").alias("m"), F.min("rep").alias("first"))
-    # about one pivot for each CELL vectors, at least one a label, MAX_PIVOTS in all besides those
-    share = min(1 / cell, MAX_PIVOTS / max(total, 1))
-    chosen = distinct.join(per.where(F.lit(True)), "part").where((F.col("rep") == F.col("first")) | ((F.col("m") > cell) & sample_fraction(F.col("rep"), share)))
+    # about one pivot for each CELL vectors of a label that has more, about MAX_PIVOTS in all
+    large = distinct.groupBy("part").count().where(F.col("count") > cell).select("part")
+    chosen = distinct.where(sample_fraction(F.col("rep"), min(1 / cell, MAX_PIVOTS / max(total, 1)))).join(large, "part", "left_semi")
     pivots: dict[int, list] = {}
     for r in chosen.select("part", "rep", "embedding").toLocalIterator():
         v = np.array(r.embedding, np.float64)
         pivots.setdefault(r.part, []).append((r.rep, v / np.linalg.norm(v)))
-    table, base = {}, 0
-    for part in sorted(pivots):
-        own = [v for _, v in sorted(pivots[part], key=lambda x: x[0])]
-        table[part] = (np.arange(base, base + len(own)), np.stack(own))
-        base += len(own)
-    placed = settle(_assign(distinct, table, radius))
-    cut = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = settle(_assign(distinct, {k: np.stack([v for _, v in sorted(own, key=lambda x: x[0])]) for k, own in pivots.items()}, radius))
+    cut = placed.groupBy("part", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     grid = F.sequence(F.lit(0), F.col("tiles") - 1)
-    placed = placed.join(cut, "cell").withColumn("mine", mine)
+    placed = placed.join(cut, ["part", "cell"]).withColumn("mine", mine)
     # tile (a, b) of a cell holds own vectors of part a, and all vectors of part b to compare them with
     spread = placed.withColumn("pair", F.explode(F.concat(
         F.transform(grid, lambda a: F.struct(a.alias("a"), F.col("mine").alias("b"), (F.col("own") & (a == F.col("mine"))).alias("ask"), F.lit(True).alias("against"))),
         F.transform(F.filter(grid, lambda b: F.col("own") & (b != F.col("mine"))), lambda b: F.struct(F.col("mine").alias("a"), b.alias("b"), F.lit(True).alias("ask"), F.lit(False).alias("against"))),
     )))
-    found = settle(spread.select("cell", "pair.*", "rep", "n", "vec").groupBy("cell", "a", "b").applyInPandas(_compare(cosine), "rep long, other long, links long"))
+    found = settle(spread.select("part", "cell", "pair.*", "rep", "n", "vec").groupBy("part", "cell", "a", "b").applyInPandas(_compare(cosine), "rep long, other long, links long"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
