@@ -98,14 +98,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[
     for w in block_words:
         listed = listed | F.col("host").contains(w)
     label = F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict") == "allow", 0.0).when(listed, 1.0).otherwise(0.0)
-    labelled = rows.select("url", "host", "path", "rule", label.alias("label"))
+    labelled = rows.select("page_id", "url", "host", "path", "rule", label.alias("label"))
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         rest = "block" if 1.0 in sizes else "allow"
         return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    # by row, as one URL may be a large part of all rows
     few = F.lit(False)
     for k in sizes:
-        few = few | ((F.col("label") == k) & sample_fraction(F.col("url"), per_verdict / max(sizes.values())))
+        few = few | ((F.col("label") == k) & sample_fraction(F.struct("page_id", "url"), per_verdict / max(sizes.values())))
     sample = settle(labelled.where(few).coalesce(2))
     suffix = F.substring_index("host", ".", -1)
     # rates come from what rules decide, as block words say little of a suffix
