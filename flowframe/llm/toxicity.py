@@ -53,8 +53,8 @@ def votes(text: str | None, found: set[str], voters: list[frozenset[str]]) -> li
     """1 toxic, -1 clean, 0 no opinion, from each lexicon and pattern."""
     text = text or ""
     hits = [len(found & v) for v in voters]
-    letters = sum(c.isalpha() for c in text[:4000]) or 1
-    upper = sum(c.isupper() for c in text[:4000])
+    letters = sum(map(str.isalpha, text)) or 1
+    upper = sum(map(str.isupper, text))
     return [
         *[1 if h else 0 for h in hits],
         1 if sum(hits) >= 2 else -1 if sum(hits) == 0 else 0,
