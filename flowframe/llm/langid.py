@@ -24,6 +24,8 @@ DOCS_PER_LANGUAGE, WORDS, GRAMS = 3_000, 20_000, 10_000
 LONGEST = 5
 #: Words of evidence that count in full towards the confidence.
 EVIDENCE = 20
+#: Letters up to which words give n-grams to learn from, and up to which an unseen word is remembered.
+LONGEST_WORD = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,7 +42,7 @@ class LanguageModel:
     def unseen(self, word: str) -> np.ndarray:
         got = self.seen.get(word)
         if got is None:
-            text, got = f"^{word[:64]}$", np.zeros(len(self.languages))
+            text, got = f"^{word}$", np.zeros(len(self.languages))
             for n in range(min(self.longest, len(text)), 0, -1):
                 rows = [r for k in range(len(text) - n + 1) if (r := self.grams.get(text[k : k + n])) is not None]
                 if rows:
@@ -48,12 +50,13 @@ class LanguageModel:
                     break
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            self.seen[word] = got
+            if len(word) <= LONGEST_WORD:
+                self.seen[word] = got
         return got
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall((text or "").lower()))
-        if not counts or not self.languages:
+        if not self.languages or not any(map(str.isalpha, (c for w in counts for c in w))):
             return "und", 0.0
         total, n = np.zeros(len(self.languages)), sum(counts.values())
         rows, times = [], []
@@ -107,9 +110,9 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words: in
 
     sized = terms.withColumn("size", F.lit(0))
     word_index, word_rows = _rows(top(sized.where("n > 1"), words), languages, totals(sized))
-    text = F.concat(F.lit("^"), F.substring("term", 1, 64), F.lit("$"))
+    text = F.concat(F.lit("^"), "term", F.lit("$"))
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, n))))
-    pieces = terms.select("lang", "n", F.explode(cut).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", F.length("term")).cache()
+    pieces = terms.where(F.length("term") <= LONGEST_WORD).select("lang", "n", F.explode(cut).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", F.length("term")).cache()
     share, found = totals(pieces), top(pieces, grams)
     gram_index: dict[str, int] = {}
     parts = []
