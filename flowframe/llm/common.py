@@ -44,12 +44,16 @@ def sample_fraction(key: Column, fraction: float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000) + 1)
 
 
-#: Rows up to which a side is broadcast; it is counted first, and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
+#: Rows and, where they hold texts, bytes up to which a side is broadcast; it is measured first, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, to be broadcast if it has few rows and, given the bytes of a row, few bytes."""
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most else df
 
 
 _KEPT: dict[str, object] = {}

@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     aligned = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(broadcast_if_small(hits), "doc_id")
         .select("doc_id", "item_id", "start", tokens("text").alias("tokens"))
-        .join(broadcast_if_small(item.withColumnRenamed("tokens", "item_tokens")), "item_id")
+        .join(broadcast_if_small(item.withColumnRenamed("tokens", "item_tokens"), size=F.octet_length(F.array_join("item_tokens", " "))), "item_id")
         .select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), width.alias("width"), tolerated.alias("tolerated"), F.transform(F.array(same), judged)[0].alias("got"))
     )
     found = aligned.where(F.col("got.best") >= F.col("width") - F.col("tolerated")).select("doc_id", "item_id", "start", "got.matched", "n_tokens")
