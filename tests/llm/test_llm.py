@@ -156,6 +156,8 @@ def test_language_id(spark):
     assert [got[k][0] for k in (1, 2, 6, None, 7)] == ["de", "de", "fr", "en", "en"] and [got[k] for k in (3, 4, 5)] == [("und", 0.0)] * 3
     assert all(0 <= s <= 1 for _, s in got.values()) and got[8][0] in PROSE
     assert langid.train(spark.createDataFrame([], "doc_id long, text string, lang string")).predict("some words") == ("und", 0.0)
+    assert model.predict("\u00b2\u00bd \u2167") == ("und", 0.0)  # numbers, not letters
+    assert model.predict("x" * 5_000 + "dinge")[0] in PROSE and model.predict("zq" * 2_000 + "garten" * 2_000) != model.predict("zq" * 2_000)
 
 
 def test_toxicity(spark):
@@ -178,6 +180,11 @@ def test_toxicity(spark):
     assert toxicity.train(docs, marks.where("toxic = 0")).score("any") < 0.5
 
 
+def test_votes_see_whole_texts():
+    shout = "ab " * 2_000 + "LOUD!!!! " * 3_000
+    assert toxicity.votes(shout, toxicity.terms(shout), [])[-2] == 1
+
+
 def test_label_model_weighs_voters():
     g = np.random.default_rng(9)
     y = g.random(4000) < 0.3
