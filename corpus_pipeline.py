@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    copies = settle(simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    """Keeps the document with the smallest id of each group, linked at a Jaccard similarity of 0.8 of five-word shingles."""
+    copies = settle(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(broadcast_if_small(copies), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, settle, worker_cache
+from .common import broadcast_if_small, give_back, settle, worker_cache
 from .components import connected_components, forest
 
 RADIUS = 3
@@ -26,22 +26,29 @@ SHINGLE = 3
 SEED = 42
 #: Members of a bucket that one group compares at once; larger buckets become pairs of tiles.
 TILE = 16_384
+#: For near copies: minimum hashes of a text in bands of rows, and bytes of shingle hashes that one group compares at once.
+BANDS, ROWS, TILE_BYTES = 24, 6, 16 << 20
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Of UTF-8 text: A-Z lower-cased, words split at ASCII white space, a signed 64-bit result."""
+    return _majority(_shingle_hashes((text or b"").lower().split(), shingle))
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        hashes = [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
+        return [xxh64_intdigest(joined, SEED)]
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    return [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
+
+
+def _majority(hashes: list[int]) -> int:
     votes, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 65_536):
         part = np.array(hashes[at : at + 65_536], dtype="<u8")
@@ -209,3 +216,113 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = connected_components(link(distinct, radius, tile))
     reps = distinct.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(reps, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _bands(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A signed hash of each band of minimum hashes."""
+    from xxhash import xxh64_intdigest
+
+    g = np.random.default_rng(SEED)
+    flip, times = g.integers(0, 2**64, (2, bands * rows), np.uint64)
+    times |= np.uint64(1)
+    least = np.full(bands * rows, _ALL)
+    for at in range(0, len(hashes), 1_024):
+        np.minimum(least, ((hashes[at : at + 1_024, None] ^ flip) * times).min(axis=0), out=least)
+    raw = least.astype("<u8").tobytes()
+    keys = [xxh64_intdigest(raw[8 * rows * k : 8 * rows * (k + 1)], k) for k in range(bands)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of sorted sets after all pairs of at least this Jaccard similarity are joined: the smallest index reachable.
+
+    Such a pair shares one of the first ``size - ceil(similarity * size) + 1`` members of
+    each, whatever order all keep; the rarest come first, so few pairs are compared.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, times[code], owner))
+    inside = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[owner]
+    head = order[inside < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner]]
+    of = np.split(code[head], np.flatnonzero(np.diff(owner[head])) + 1)
+    by = np.argsort(code[head], kind="stable")
+    ends = np.searchsorted(code[head][by], np.arange(len(times) + 1))
+    holders = owner[head][by]
+    label = np.full(n, -1)
+    for first in range(n):
+        if label[first] >= 0:
+            continue
+        label[first] = first
+        queue = [first]
+        while queue:
+            k = queue.pop()
+            met = np.unique(np.concatenate([holders[ends[c] : ends[c + 1]] for c in of[k]]))
+            met = met[(label[met] < 0) & (np.minimum(sizes[met], sizes[k]) >= similarity * np.maximum(sizes[met], sizes[k]) - 1e-9)]
+            for other in met.tolist():
+                shared = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
+                if shared >= similarity * (sizes[k] + sizes[other] - shared) - 1e-9:
+                    label[other] = first
+                    queue.append(other)
+    return label
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(doc_id, component_id) per row of ``docs`` with an id, linked at a Jaccard similarity of word shingles.
+
+    Candidates have fingerprints within RADIUS or a band of minimum hashes in common, as
+    similar texts' fingerprints mostly differ in more bits than blocks can look up. In each
+    connected set of candidates all pairs are then decided by their shingles. Equal texts
+    travel once; blank texts equal each other.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        worker_cache("simhash")
+        for b in batches:
+            same, fps, bands = [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                words = (t.as_py() or b"").lower().split()
+                hashes = _shingle_hashes(words, shingle)
+                same.append(xxh3_128_digest(b" ".join(words)))
+                fps.append(_majority(hashes))
+                bands.append(_bands(np.array(hashes, np.uint64), BANDS, ROWS) if words else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands"])
+        give_back()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(np.array(_shingle_hashes((t.as_py() or b"").lower().split(), shingle), "<u8")).tobytes() for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.binary())], ["component_id", "doc_id", "shingles"])
+
+    def decide(held: pa.Table) -> pa.Table:
+        held = held.sort_by("doc_id")
+        ids = held.column("doc_id").to_numpy()
+        label = similar_labels([np.frombuffer(s.as_py(), "<u8") for s in held.column("shingles")], similarity)
+        own = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[label[own]], pa.int64())})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    told = settle(rows.mapInArrow(sketch, "doc_id long, same binary, fp long, bands array<long>"))
+    distinct = settle(told.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    prints = settle(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
+    keyed = distinct.select("rep", F.explode("bands").alias("key"))
+    shared = settle(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most").drop("most"))
+    pairs = link(prints).unionByName(distinct.select(F.col("rep").alias("a"), "fp").join(prints.withColumnRenamed("rep", "b"), "fp").where("a <> b").select("a", "b"))
+    pairs = pairs.unionByName(keyed.join(broadcast_if_small(shared), "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+    near = connected_components(pairs)
+    members = rows.join(broadcast_if_small(near.withColumnRenamed("node", "doc_id")), "doc_id").select("component_id", "doc_id", "text")
+    members = settle(members.where(F.length("text") > 0).mapInArrow(sets, "component_id long, doc_id long, shingles binary").where(F.octet_length("shingles") > 0))
+    tiles = members.groupBy("component_id").agg(F.ceil(F.sum(F.octet_length("shingles")) / tile_bytes).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    dealt = (
+        members.join(broadcast_if_small(settle(tiles)), "component_id").withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("component_id", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "doc_id", "shingles")
+    )
+    linked = dealt.groupBy("component_id", "left", "right").applyInArrow(decide, "a long, b long")
+    comp = connected_components(linked)
+    reps = distinct.select("same", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component_id", "rep").alias("component_id"))
+    return told.select("doc_id", "same").join(reps, "same").select("doc_id", "component_id")

@@ -127,6 +127,35 @@ def test_simhash_edges(spark):
     assert simhash.block_count(10**6) == 4 and simhash.block_count(10**12) > 4
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 24, 4_000])
+def test_near_copies_match_brute_force(spark, tile_bytes):
+    r = random.Random(12)
+    rows = []
+    for k in range(40):
+        w = [f"w{r.randrange(5_000)}" for _ in range(r.choice([50, 200, 400]))]
+        rows.append((4 * k, " ".join(w)))
+        for j, part in enumerate((100, 50, 35)):  # five-word similarities about 0.9, 0.82 and 0.75
+            v = list(w)
+            for at in r.sample(range(len(v)), max(1, len(v) // part)):
+                v[at] = f"new{k}{j}{at}"
+            rows.append((4 * k + j + 1, " \n".join(v).upper()))
+    rows += [(200, rows[0][1]), (201, None), (202, " "), (203, "too few"), (204, "too few"), (None, rows[0][1])]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows), tile_bytes=tile_bytes).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if i is not None for w in [(t or "").lower().split()]}
+    want = brute_components(205, [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert got == {i: want[i] for i in sets} and sum(i != c for i, c in got.items()) > 60
+
+
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    w = [f"w{r.randrange(5_000)}" for _ in range(400)]
+    rows = [(1, " ".join(w))] + [(2 + k, " ".join("new" if at % 50 == k else x for at, x in enumerate(w))) for k in range(5, 25)]
+    left = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    assert {x.doc_id for x in left} == {1}
+
+
 @pytest.mark.parametrize("cell,tile", [(2_000, 8_192), (5, 8_192), (5, 6)])
 def test_embedding_links_match_brute_force(spark, cell, tile):
     g = np.random.default_rng(6)
