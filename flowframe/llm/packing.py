@@ -4,7 +4,7 @@ Texts become token ids in their own partition and only lengths travel on. Pieces
 dealt to groups of bounded size by a hash of their key; each group is packed by
 best-fit decreasing and then improved: underfull sequences exchange one piece for one,
 two for one, or move a piece, whenever that raises the sum of squared fills, until the
-emptiest of them run empty or no exchange is left.
+least number of sequences is reached or no exchange is found.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, worker_cache
+from .common import give_back, settle, worker_cache
 
 CAPACITY = 4096
 #: Pieces that one group packs together.
 GROUP = 16_384
-#: Sequences with free room that local search looks at, and exchanges it makes at most, in a group.
-OPEN, STEPS = 256, 20_000
+#: Sequences with free room that local search looks at together; all of a group have their turn.
+OPEN = 256
 #: Words as they stand, and lower-cased runs of letters, whose ids a Python worker remembers.
 REMEMBER, REMEMBER_LETTERS = 200_000, 500_000
 #: Signs that, after letters, the tokenizer takes for a piece of its own.
@@ -164,58 +164,82 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN, steps: int = STEPS) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN) -> list[list[int]]:
     """Local search between underfull bins; every exchange raises the sum of squared fills, so it ends.
 
     A fuller bin takes more from an emptier one: it receives a piece, swaps one of its own
-    for a longer one, or swaps one for two that are longer together. Empty bins go.
+    for a longer one, or swaps one for two that are longer together. Empty bins go. All
+    underfull bins are searched, ``open_bins`` at a time: neighbours in fill, then bins far
+    apart in it, until a pass of each kind gains nothing.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    underfull = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])[:open_bins]
-    moved = True
-    while moved and steps > 0 and sum(1 for b in bins if b) > least:
-        moved = False
-        underfull = sorted((k for k in underfull if bins[k]), key=lambda k: fill[k])
-        for a in underfull:  # the emptiest gives first
-            for z in reversed(underfull):
-                if a == z or not bins[a] or fill[z] < fill[a] or fill[z] == capacity:
-                    continue
-                room = capacity - fill[z]
-                giving = sorted(bins[a], key=lambda i: lengths[i])
-                sizes = [lengths[i] for i in giving]
-                best: tuple = (0, None, None)
-                k = bisect.bisect_right(sizes, room)
-                if k:
-                    best = (sizes[k - 1], (giving[k - 1],), ())
-                for j in bins[z]:
-                    top = room + lengths[j]
-                    k = bisect.bisect_right(sizes, top)
-                    if k and sizes[k - 1] - lengths[j] > best[0]:
-                        best = (sizes[k - 1] - lengths[j], (giving[k - 1],), (j,))
-                    lo, hi = 0, len(sizes) - 1  # the two that come nearest to the room left by j
-                    while lo < hi:
-                        two = sizes[lo] + sizes[hi]
-                        if two <= top:
-                            if two - lengths[j] > best[0]:
-                                best = (two - lengths[j], (giving[lo], giving[hi]), (j,))
-                            lo += 1
-                        else:
-                            hi -= 1
-                gain, there, back = best
-                if gain > 0:
-                    for i in there:
-                        bins[a].remove(i)
-                    for j in back:
-                        bins[z].remove(j)
-                        bins[a].append(j)
-                    bins[z].extend(there)
-                    fill[a] -= gain
-                    fill[z] += gain
-                    moved, steps = True, steps - 1
+    held = sum(1 for b in bins if b)
+    idle, spread = 0, False
+    while idle < 2 and held > least:
+        rest = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
+        if spread:
+            lots = -(-len(rest) // open_bins)
+            rest = [k for lot in range(lots) for k in rest[lot::lots]]
+        gained = False
+        while rest and held > least:
+            block = rest[:open_bins]
+            rest = rest[open_bins:]
+            while _exchange(block, bins, fill, lengths, capacity):
+                gained = True
+                block = [k for k in block if bins[k] and fill[k] < capacity]
+                free = open_bins - len(block)
+                block, rest = block + rest[:free], rest[free:]
+                held = sum(1 for b in bins if b)
+                if held <= least:
+                    break
+        idle, spread = 0 if gained else idle + 1, not spread
     return [b for b in bins if b]
 
 
+def _exchange(block: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int) -> bool:
+    """One search over the pairs of a block; whether anything moved."""
+    moved = False
+    underfull = sorted(block, key=lambda k: fill[k])
+    for a in underfull:  # the emptiest gives first
+        for z in reversed(underfull):
+            if a == z or not bins[a] or fill[z] < fill[a] or fill[z] == capacity:
+                continue
+            room = capacity - fill[z]
+            giving = sorted(bins[a], key=lambda i: lengths[i])
+            sizes = [lengths[i] for i in giving]
+            best: tuple = (0, None, None)
+            k = bisect.bisect_right(sizes, room)
+            if k:
+                best = (sizes[k - 1], (giving[k - 1],), ())
+            for j in bins[z]:
+                top = room + lengths[j]
+                k = bisect.bisect_right(sizes, top)
+                if k and sizes[k - 1] - lengths[j] > best[0]:
+                    best = (sizes[k - 1] - lengths[j], (giving[k - 1],), (j,))
+                lo, hi = 0, len(sizes) - 1  # the two that come nearest to the room left by j
+                while lo < hi:
+                    two = sizes[lo] + sizes[hi]
+                    if two <= top:
+                        if two - lengths[j] > best[0]:
+                            best = (two - lengths[j], (giving[lo], giving[hi]), (j,))
+                        lo += 1
+                    else:
+                        hi -= 1
+            gain, there, back = best
+            if gain > 0:
+                for i in there:
+                    bins[a].remove(i)
+                for j in back:
+                    bins[z].remove(j)
+                    bins[a].append(j)
+                bins[z].extend(there)
+                fill[a] -= gain
+                fill[z] += gain
+                moved = True
+    return moved
+
+
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity)
 
@@ -229,8 +253,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     ``tokenizer_path`` is a file that every executor has and that drops white space.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    pieces = rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    groups = max(1, -(-docs.count() // group))
+    pieces = settle(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    groups = max(1, -(-pieces.count() // group))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)

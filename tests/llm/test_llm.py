@@ -296,6 +296,17 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve([[0, 1], [2, 3], [4, 5]], lengths, 12)) == 2
 
 
+def test_local_search_sees_every_underfull_bin():
+    lengths = [5, 3, 4, 4, 3, 5] * 20
+    bins = packing.improve([[k, k + 1] for k in range(0, 120, 2)], lengths, 12, open_bins=6)
+    assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 12 for b in bins) and len(bins) == 40
+
+
+def test_packing_deals_pieces_not_documents(spark):
+    out = packing.pack(spark.createDataFrame([(1, "a b c d " * 100)], SCHEMA), queries.tokenizer_path(), capacity=8, group=10).collect()
+    assert len(out) > 40 and len({r.sequence_id >> 32 for r in out}) > 3
+
+
 def test_packing_ids(spark):
     from tokenizers import Tokenizer
 
