@@ -15,10 +15,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_fraction, settle
+from .common import broadcast_if_small, sample_fraction, settle
 
-#: Labelled URLs of the commoner verdict that the trees are fitted on, with as large a share of the other, and suffixes with statistics of their own.
-TRAIN_PER_VERDICT, SUFFIXES = 4_000, 200
+#: Labelled URLs of each verdict that the trees are fitted on.
+TRAIN_PER_VERDICT = 4_000
 TREES, DEPTH, SEED = 12, 4, 7
 #: Words in a host that label it as blocked when no rule decides.
 BLOCK_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "warez", "payday")
@@ -59,22 +59,15 @@ def _share(text: Column, pattern: str) -> Column:
     return F.when(F.length(text) > 0, 1 - F.length(F.regexp_replace(text, pattern, "")) / F.length(text)).otherwise(0.0)
 
 
-def _lookup(values: dict, key: Column, default: float) -> Column:
-    if not values:
-        return F.lit(default)
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key], F.lit(default))
-
-
-def features(url: Column, host: Column, path: Column, rate: dict, share: dict, base: float) -> dict[str, Column]:
+def features(url: Column, host: Column, path: Column, rate: Column, share: Column) -> dict[str, Column]:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
-    suffix = F.substring_index(host, ".", -1)
     count = lambda text, what: F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
     got = {
         "url_length": F.length(F.coalesce(url, F.lit(""))), "host_length": F.length(host), "path_length": F.length(path), "depth": count(path, "/"), "labels": count(host, "."),
         "longest_label": F.coalesce(F.array_max(F.transform(F.split(host, r"\."), lambda x: F.length(x))), F.lit(0)),
         "hyphens": count(host, "-"), "host_digits": _share(host, "[0-9]"), "path_digits": _share(path, "[0-9]"), "host_entropy": _entropy(host), "path_entropy": _entropy(path),
         "params": F.when(query == "", 0).otherwise(count(query, "&") + 1), "query_length": F.length(query), "fragment": F.coalesce(url.contains("#"), F.lit(False)), "secure": F.coalesce(url.startswith("https"), F.lit(False)),
-        "extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "suffix_rate": _lookup(rate, suffix, base), "suffix_share": _lookup(share, suffix, 0.0),
+        "extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "suffix_rate": rate, "suffix_share": share,
     }
     return {f"x_{k}": v.cast("double") for k, v in got.items()}
 
@@ -103,24 +96,31 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[
     if len(sizes) < 2:
         rest = "block" if 1.0 in sizes else "allow"
         return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    # by row, as one URL may be a large part of all rows
+    # by row, as one URL may be a large part of all rows; weights give each verdict its share of all labelled rows again
     few = F.lit(False)
     for k in sizes:
-        few = few | ((F.col("label") == k) & sample_fraction(F.struct("page_id", "url"), per_verdict / max(sizes.values())))
+        few = few | ((F.col("label") == k) & sample_fraction(F.struct("page_id", "url"), per_verdict / sizes[k]))
     sample = settle(labelled.where(few).coalesce(2))
+    drawn = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weight = F.lit(0.0)
+    for k, n in drawn.items():
+        weight = F.when(F.col("label") == k, F.lit(sizes[k] / n * sum(drawn.values()) / sum(sizes.values()))).otherwise(weight)
     suffix = F.substring_index("host", ".", -1)
     # rates come from what rules decide, as block words say little of a suffix
-    common = rows.groupBy(suffix.alias("suffix")).count().orderBy(F.desc("count"), "suffix").limit(SUFFIXES).collect()
-    total = sum(r["count"] for r in common)
-    share = {r.suffix: r["count"] / total for r in common}
-    rate = {r.suffix: r.rate for r in sample.where("rule is not null").groupBy(suffix.alias("suffix")).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("rate")).where(F.col("suffix").isin(list(share))).collect()}
-    made = features(F.col("url"), F.col("host"), F.col("path"), rate, share, sizes[1.0] / sum(sizes.values()))
+    ruled = F.col("verdict").isNotNull()
+    stats = rows.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum(ruled.cast("long")).alias("ruled"), F.sum((F.col("verdict") == "block").cast("long")).alias("blocked"))
+    stats = settle(stats)
+    total, base = stats.agg(F.sum("n")).first()[0], sizes[1.0] / sum(sizes.values())
+    stats = stats.select("suffix", (F.col("n") / total).alias("share"), F.when(F.col("ruled") > 0, (F.col("blocked") + 1) / (F.col("ruled") + 2)).otherwise(base).alias("rate"))
+    stats = broadcast_if_small(stats)
+    made = features(F.col("url"), F.col("host"), F.col("path"), F.col("rate"), F.col("share"))
+    of_suffix = lambda df: df.withColumn("suffix", suffix).join(stats, "suffix").withColumns(made)
     gather = VectorAssembler(inputCols=list(made), outputCol="features")
-    train = gather.transform(sample.withColumns(made)).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED, stepSize=0.3, maxMemoryInMB=64).fit(train)
+    train = gather.transform(of_suffix(sample.withColumn("weight", weight))).select("features", "label", "weight")
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED, stepSize=0.3, maxMemoryInMB=64, weightCol="weight").fit(train)
     from pyspark.ml.functions import vector_to_array
 
-    rest = model.transform(gather.transform(rows.where("verdict is null").withColumns(made)))
+    rest = model.transform(gather.transform(of_suffix(rows.where("verdict is null"))))
     rest = rest.select("page_id", "host", "path", "rule", F.when(F.col("prediction") == 1, "block").otherwise("allow").alias("verdict"), vector_to_array("probability")[1].alias("score"))
     out = rows.where("verdict is not null").select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score")).unionByName(rest)
     return out.withColumnRenamed("page_id", id_col)

@@ -280,6 +280,12 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in url_filter.judge(df.where("page_id = 7")).collect()} == {"allow"} and url_filter.judge(df.where("false")).count() == 0
 
 
+def test_url_trees_learn_a_rare_verdict(spark):
+    rows = [(k, f"http://a{k % 7}.org/x/{k}") for k in range(6_000)] + [(10_000 + k, f"http://casino-{k}-win-big.net/q/w/e?a=1&b=2") for k in range(12)]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), per_verdict=40)
+    assert {r.verdict for r in out.where("page_id >= 10000").collect()} == {"block"}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_bins(seed):
     r = random.Random(seed)
