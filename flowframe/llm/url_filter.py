@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, boosted trees on lexical features for the rest.
 
 DataFrame functions and MLlib only. The trees are trained on URLs labelled as
-the rules decide, and otherwise by whether their host has a word of a block list. Features are lengths,
+the rules decide, otherwise as blocked if their host has a word of a block list, and as allowed if it has none,
+as nothing else tells of clean hosts that no rule knows. Features are lengths,
 depth, counts, shares of digits, character entropy and statistics of the host's suffix.
 """
 
@@ -22,6 +23,8 @@ TRAIN_PER_VERDICT = 4_000
 TREES, DEPTH, SEED = 12, 4, 7
 #: Words in a host that label it as blocked when no rule decides.
 BLOCK_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "warez", "payday")
+#: The same, but only as whole words between dots and hyphens, as they are part of harmless words.
+BLOCK_NAMES = ("ads", "adult", "bet", "bets", "betting", "gambling", "poker", "sex", "tracker", "tracking")
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,7 @@ def features(url: Column, host: Column, path: Column, rate: Column, share: Colum
     return {f"x_{k}": v.cast("double") for k, v in got.items()}
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[str, ...] = BLOCK_WORDS, id_col: str = "page_id", url_col: str = "url", per_verdict: int = TRAIN_PER_VERDICT, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[str, ...] = BLOCK_WORDS, id_col: str = "page_id", url_col: str = "url", per_verdict: int = TRAIN_PER_VERDICT, trees: int = TREES, depth: int = DEPTH, block_names: tuple[str, ...] = BLOCK_NAMES) -> DataFrame:
     """(id, host, path, rule, verdict, score double) per row: the longest fitting rule's verdict, or that of the trees.
 
     ``score`` is the trees' probability of a block, null where a rule decides. Null URLs
@@ -90,6 +93,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[
     listed = F.lit(False)
     for w in block_words:
         listed = listed | F.col("host").contains(w)
+    listed = listed | F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in block_names]).cast("array<string>"))
     label = F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict") == "allow", 0.0).when(listed, 1.0).otherwise(0.0)
     labelled = rows.select("page_id", "url", "host", "path", "rule", label.alias("label"))
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}

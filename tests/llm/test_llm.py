@@ -286,6 +286,13 @@ def test_url_trees_learn_a_rare_verdict(spark):
     assert {r.verdict for r in out.where("page_id >= 10000").collect()} == {"block"}
 
 
+def test_url_block_list_covers_the_families(spark):
+    families = ("casino-win", "free-bets", "ads-track", "adult-x", "spam-farm", "cheap-pills")
+    rows = [(100 * f + k, f"http://{h}.example.net/en/{k}") for f, h in enumerate(families) for k in range(20)] + [(1_000 + k, f"http://{h}.example.net/en/{k}") for h in ("alphabets", "downloads") for k in range(200)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).groupBy("host").agg(F.collect_set("verdict").alias("v")).collect()
+    assert {r.host.split(".")[0]: r.v for r in got} == {**{f: ["block"] for f in families}, "alphabets": ["allow"], "downloads": ["allow"]}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_bins(seed):
     r = random.Random(seed)
