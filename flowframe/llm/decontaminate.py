@@ -18,14 +18,16 @@ from .common import broadcast_if_small, settle
 
 WINDOW, SUBSTITUTIONS = 16, 2
 MASKS = ((0, 1, 3, 4, 6, 11, 12), (0, 3, 5, 6, 7, 9, 10))
-#: Fewest tokens of an item that can be found.
+#: Fewest tokens of an item that seeds can find; shorter ones are found whole.
 SHORTEST = 13
+#: Unicode's white space, within brackets of a pattern.
+_WHITE = r"\x09-\x0D\x1C-\x1F\x20\x85\p{Z}"
 
 
 def tokens(text: str) -> Column:
     """Lower-case words without anything but letters, marks and digits; null text has none."""
-    bare = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{M}\p{N}\x09-\x0D ]+", "")
-    return F.filter(F.split(bare, r"[\x09-\x0D ]+"), lambda w: w != "")
+    bare = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), rf"[^\p{{L}}\p{{M}}\p{{N}}{_WHITE}]+", "")
+    return F.filter(F.split(bare, rf"[{_WHITE}]+"), lambda w: w != "")
 
 
 def lossless(masks: tuple, window: int, substitutions: int) -> bool:
@@ -57,19 +59,36 @@ def _hashed(df: DataFrame, key: str, masks: tuple) -> DataFrame:
     return s.select(key, "seed", "size", F.expr("at % size").cast("int").alias("pos"), F.expr("at div size").cast("int").alias("mask"))
 
 
+def _whole(word: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, matched, n_tokens) where all tokens of an item stand in a row."""
+    lengths = sorted(r.n for r in short.select(F.size("tokens").alias("n")).distinct().collect())
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda k: k + n <= F.size("tokens"))
+        return F.transform(starts, lambda k: F.struct(k.alias("start"), F.xxhash64(F.slice("tokens", k + 1, n)).alias("hash"), F.lit(n).alias("n")))
+
+    grams = word.where(F.size("tokens") > 0).select("doc_id", "tokens", F.explode(F.concat(*map(runs, lengths))).alias("run")).select("doc_id", "run.*", F.slice("tokens", F.col("run.start") + 1, F.col("run.n")).alias("part"))
+    wanted = broadcast_if_small(short.select("item_id", F.col("tokens").alias("item_tokens"), F.xxhash64("tokens").alias("hash"), F.size("tokens").alias("n")))
+    met = grams.join(wanted, ["hash", "n"]).where(F.col("part") == F.col("item_tokens"))
+    return met.select("doc_id", "item_id", "start", F.col("n").alias("matched"), F.col("n").alias("n_tokens"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple = MASKS, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, start, matched, n_tokens): each benchmark item found in each document.
 
     An item is found where some ``window`` tokens in a row of it (or all, if it has fewer)
     stand in the document at the same distances with at most ``substitutions`` of them
     replaced (fewer for short items, see ``allowed``). Of several alignments the one with
-    most tokens equal counts, then the first. Items of fewer than SHORTEST tokens, null
-    texts and null ids are never found. Rows that repeat an id count as one document when
+    most tokens equal counts, then the first. Items of fewer than SHORTEST tokens are found
+    where all their tokens stand in a row. Items without a token, null texts and null ids
+    are never found. Rows that repeat an id count as one document when
     reported. Other columns are not read.
     """
     span = max(m[-1] for m in masks) + 1
     word = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("tokens")).where("doc_id is not null")
-    item = items.select(F.col(item_col).alias("item_id"), tokens(item_text).alias("tokens")).where(F.col("item_id").isNotNull() & (F.size("tokens") >= max(SHORTEST, span)))
+    every = items.select(F.col(item_col).alias("item_id"), tokens(item_text).alias("tokens")).where(F.col("item_id").isNotNull() & (F.size("tokens") > 0))
+    item = every.where(F.size("tokens") >= max(SHORTEST, span))
+    short = settle(every.where(F.size("tokens") < max(SHORTEST, span)).distinct())
     ends = F.element_at(F.array(*[F.lit(m[-1]) for m in masks]), F.col("mask") + 1)
     seeds = settle(_hashed(item, "item_id", masks).where(F.col("pos") + ends < F.col("size")).select("item_id", "seed", F.col("pos").alias("item_pos")).distinct())
     hits = _hashed(word, "doc_id", masks).select("doc_id", "seed", "pos").join(broadcast_if_small(seeds), "seed")
@@ -95,6 +114,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         .select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), width.alias("width"), tolerated.alias("tolerated"), F.transform(F.array(same), judged)[0].alias("got"))
     )
     found = aligned.where(F.col("got.best") >= F.col("width") - F.col("tolerated")).select("doc_id", "item_id", "start", "got.matched", "n_tokens")
+    if not short.isEmpty():
+        found = found.unionByName(_whole(word, short))
     return found.groupBy("doc_id", "item_id", "n_tokens").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"))).alias("best")).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.matched", "n_tokens")
 
 

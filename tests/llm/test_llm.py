@@ -245,6 +245,13 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame([], SCHEMA), items).count() == 0
 
 
+def test_decontamination_of_short_items_and_white_space(spark):
+    rows = [(1, f"before {item(1, 12)} after"), (2, "x " + item(2).replace(" ", "\u00a0")), (3, "one WORD here"), (4, item(1, 11)), (5, f"{item(3, 5)} {item(3, 5)}"), (6, None), (7, item(1, 12).replace(" ", "\u2003"))]
+    items = spark.createDataFrame([(1, item(1, 12)), (2, item(2)), (3, item(3, 5)), (4, "word"), (5, ""), (6, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.matched, r.n_tokens) for r in decontaminate.contaminated(frame(spark, rows), items).collect()}
+    assert got == {(1, 1): (1, 12, 12), (2, 2): (1, 30, 30), (3, 4): (1, 1, 1), (5, 3): (0, 5, 5), (7, 1): (0, 12, 12)}
+
+
 def test_seeds_are_lossless():
     assert decontaminate.lossless(decontaminate.MASKS, decontaminate.WINDOW, decontaminate.SUBSTITUTIONS)
     assert not decontaminate.lossless(((0, 1, 2, 3, 4, 5, 6),), 16, 2)
