@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, html_extract, langid, packing, sharding, simhash, substring_dedup, toxicity, url_filter
-from .common import checkpoint_dir, is_training, table
+from .common import broadcast_if_small, checkpoint_dir, is_training, table
 
 
 def tokenizer_path() -> str:
@@ -63,12 +63,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight arrival runs of documents, compacted; where each document ended up, read from the committed shards."""
+    """Eight arrival runs of documents, compacted; each document as read from the committed shards.
+
+    ``committed`` says that the file it was read from is named by the manifest and not much larger than a shard may be.
+    """
     store = sharding.ShardStore(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     store.settle()
     store.vacuum()
-    return store.snapshot().select("doc_id", "shard", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    named = store.manifest().select(F.element_at(F.split("path", "/"), -1).alias("shard"), (F.col("bytes") <= 2 * store.target).alias("committed"))
+    rows = store.snapshot().select("doc_id", "shard", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return rows.join(broadcast_if_small(named), "shard", "left").select("doc_id", "n_bytes", "text_sha256", F.coalesce("committed", F.lit(False)).alias("committed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -136,5 +141,7 @@ SELECT doc_id, item_id, CAST(-max_by(-start, (matched, -start)) AS INTEGER) AS s
 FROM found GROUP BY doc_id, item_id, n
 """
 
-#: The others learn a model, use a hash or tokenizer that SQL lacks, or name files: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_embedding_dedup": _OP3, "op5_decontaminate": _OP5}
+_OP10 = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS committed FROM documents"
+
+#: The others learn a model, or use a hash or tokenizer that SQL lacks: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_embedding_dedup": _OP3, "op5_decontaminate": _OP5, "op10_sharding": _OP10}

@@ -361,14 +361,81 @@ def test_shards(spark, tmp_path):
     assert store.snapshot(1).count() == 500
     store.vacuum()
     got = store.snapshot()
-    assert got.select(*rows.columns).exceptAll(rows).count() == 0 and got.count() == 3000 and len(store.versions()) == 1
+    assert got.select(*rows.columns).exceptAll(rows).count() == 0 and got.count() == 3000 and store.current() == max(store.versions())
     assert store.compact() == 0
     empty = sharding.ShardStore(spark, str(tmp_path / "e"))
     empty.append(rows.where("false"))
     assert empty.settle() == 0 and empty.snapshot().count() == 0
+
+
+def _keys(spark, a, b):
+    return spark.range(a, b).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=200_000) for _ in range(2))
+    for k in range(4):
+        one.append(_keys(spark, 100 * k, 100 * k + 100).coalesce(1))
+    plain = one._merge
+
+    def slow(*args):  # the other writer appends after the merge was planned, before it is committed
+        two.append(_keys(spark, 400, 1_400).coalesce(2))
+        return plain(*args)
+
+    one._merge = slow
+    assert one.compact() > 0
+    assert one.snapshot().count() == one.snapshot().distinct().count() == 1_400
+    # an append that is committed between another's read of the base and its commit
+    commit, once = two._commit, []
+
+    def late(base, *args):
+        if not once:
+            once.append(one.append(_keys(spark, 1_400, 1_500)))
+        return commit(base, *args)
+
+    two._commit = late
+    two.append(_keys(spark, 1_500, 1_600))
+    assert two.snapshot().count() == two.snapshot().distinct().count() == 1_600 and one.current() == two.current()
+
+
+def test_commits_on_a_stale_base_fail(spark, tmp_path):
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=200_000) for _ in range(2))
+    for k in range(5):
+        one.append(_keys(spark, 100 * k, 100 * k + 100).coalesce(1))
     with pytest.raises(sharding.CommitConflict):
-        store.versions = lambda: [max(sharding.ShardStore.versions(store)) - 1]
-        store._commit(empty.manifest(), "{}")
+        two._commit(4, one.manifest(3), "{}")
+    plain = two._merge
+    two._merge = lambda *args: (one.compact(), plain(*args))[1]
+    with pytest.raises(sharding.CommitConflict):
+        two.compact()  # the same shards were merged by the other
+    two.vacuum()
+    assert two.snapshot().count() == 500 and two.versions() == list(range(1, 7))
+    # a publisher that moves into the folder that exists, as some file systems do
+    with pytest.raises(sharding.CommitConflict):
+        one._publish = lambda made, wanted: one._fs.rename(one._path(made), one._path(wanted))
+        one._commit(5, one.manifest(), "{}")
+    assert one.snapshot().count() == 500
+
+
+def test_shards_of_running_writers_and_odd_names(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, None, "x", "mine"), (1, None, "x", "mine"), (None, "", None, "mine")], "doc_id long, text string, arrival_run string, shard string")
+    store.append(rows, F.col("doc_id"))
+    assert sorted(map(str, store.snapshot().drop("_shard").collect())) == sorted(map(str, rows.collect()))
+    store.append(rows.select("shard", "text", "doc_id", "arrival_run").where("false"))
+    with pytest.raises(ValueError):
+        store.append(rows.drop("text"))
+    torn = tmp_path / "s" / "versions" / "v00000009"  # a folder without a commit file is no version
+    torn.mkdir()
+    name = store._begin()
+    rows.write.parquet(str(tmp_path / "s" / "shards" / name))
+    dead = tmp_path / "s" / "shards" / "0123456789abcdef"
+    rows.write.parquet(str(dead))
+    store.vacuum()
+    assert store.current() == 2 and (tmp_path / "s" / "shards" / name).exists() and not dead.exists()
+    store.vacuum(grace=0)
+    assert not (tmp_path / "s" / "shards" / name).exists() and store.snapshot().count() == 3
+    assert sharding.ShardStore(spark, str(tmp_path / "none")).compact() == 0
 
 
 def test_pipeline_keeps_and_drops(spark, tmp_path):
