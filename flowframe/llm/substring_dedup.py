@@ -3,18 +3,25 @@
 Every window of 50 words belongs to the bucket of its minimiser, the least hash among
 the 8-word runs inside it. Consecutive windows with one minimiser travel as one packed
 string of words, so a word is sent about three times rather than fifty. Each bucket
-sorts its windows and finds the first document of every one. A word covered by a window
-that also starts in an earlier document is removed.
+numbers its distinct words, sorts its windows by a hash of the numbers, compares windows
+of one hash word by word, and finds the first document of every one. A word covered by a
+window that also starts in an earlier document is removed. Equal hashes of different
+words only bring windows into one bucket; they never make windows equal.
 
 Copies meet early: a packed string that several documents of one batch hold travels
-once, for the earliest of them. Runs that are frequent in a bounded sample of documents
-come last in the minimiser order, so that a line shared by very many documents does not
-gather all of their windows in one bucket; which runs those are changes only where a
-window is counted, never the result.
+once, for the earliest of them. Runs that are frequent in a sample of documents come last
+in the minimiser order, so that a line shared by very many documents does not gather all
+of their windows in one bucket; which runs those are changes only where a window is
+counted, never the result. The sample is a fixed share of large inputs, so what it misses
+stays below a fixed number of documents (about 40 / SAMPLE_SHARE) at every size.
+
+A span is reported with a digest of its words and is cut only from rows that have these
+words there, so rows that repeat an id are judged each by its own text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +38,10 @@ MINIMISER = 8
 BUCKET_BYTES = 4 << 20
 #: Buckets that a task counts, one after the other, at most.
 BUCKETS_A_TASK = 16
-#: Documents sampled for frequent runs, and in how many of them a run is frequent.
-SAMPLE_DOCS, FREQUENT_DOCS = 4_000, 20
+#: Documents sampled for frequent runs, or this share of them if that is more, and in how many sampled ones a run is frequent.
+SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT_DOCS = 4_000, 1 / 1_000, 20
+#: Bytes of text that one task cuts.
+CUT_BYTES = 32 << 20
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 
@@ -70,12 +79,12 @@ class _Rolling:
         return (sums[ends] - sums[starts]) * down[starts]
 
 
-_BYTES, _ONE, _TWO = _Rolling(_B), _Rolling(_C), _Rolling(_D)
+_BYTES, _ONE = _Rolling(_B), _Rolling(_C)
 
 
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a buffer with one separator between words."""
-    gaps = np.flatnonzero((buf == 32) | (buf == 10))
+    """Starts, ends and hashes of the words of a buffer with one blank between words; the hashes only order minimisers."""
+    gaps = np.flatnonzero(buf == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(buf)]])
     hashes, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
@@ -148,7 +157,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]
 
 
 def _frequent_runs(docs: DataFrame, window: int, n_docs: int) -> np.ndarray:
-    """Hashes of runs found in many documents of a sample of at most about SAMPLE_DOCS."""
+    """Hashes of runs found in many documents of a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,20 +168,47 @@ def _frequent_runs(docs: DataFrame, window: int, n_docs: int) -> np.ndarray:
                         own = np.unique(_run_hashes(h, min(MINIMISER, window)) >> np.uint64(1))
                         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], ["h"])
 
-    few = docs.where(sample_fraction(F.col("doc_id"), SAMPLE_DOCS / max(n_docs, 1)))
+    few = docs.where(sample_fraction(F.col("doc_id"), max(SAMPLE_DOCS / max(n_docs, 1), SAMPLE_SHARE)))
     found = few.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DOCS)
     return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.uint64))
 
 
-_SPANS = "doc_id long, start int, n int"
+_SPANS = "doc_id long, start int, n int, digest binary"
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, start, n): word spans that windows shared with an earlier document cover.
+def _digest(words: bytes) -> bytes:
+    """Of words joined by one space."""
+    return hashlib.blake2b(words, digest_size=16).digest()
 
-    ``docs`` has doc_id long (not null) and text. Spans of one document may overlap.
+
+def _same_as_before(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows at ``starts``, and which of them have the words of the one before in that order.
+
+    Windows of one hash are compared number by number. Should two of one hash differ, all
+    are ordered by ranks of their runs of 1, 2, 4, ... words instead, which have no collisions.
     """
-    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rank = np.argsort(hashes, kind="stable")
+    same = np.concatenate([[False], hashes[rank][1:] == hashes[rank][:-1]])
+    at = np.flatnonzero(same)
+    a, b = starts[rank[at]], starts[rank[at - 1]]
+    if all((ids[a + k] == ids[b + k]).all() for k in range(window)):
+        return rank, same
+    runs, size = ids.astype(np.int64), 1
+    while size < window:
+        step = min(size, window - size)  # the last two runs may overlap
+        pair = runs[:-step] * (int(runs.max()) + 1) + runs[step:]
+        runs, size = np.unique(pair, return_inverse=True)[1], size + step
+    exact = runs[starts]
+    rank = np.argsort(exact, kind="stable")
+    return rank, np.concatenate([[False], exact[rank][1:] == exact[rank][:-1]])
+
+
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, size: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, start, n, digest): word spans that windows shared with an earlier document cover, with a digest of their words.
+
+    ``docs`` has doc_id long (not null) and text; ``size`` is its rows and bytes if known. Spans of one document may overlap.
+    """
+    n_docs, n_bytes = size or docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = _frequent_runs(docs, window, n_docs)
     buckets = max(1, -(-3 * n_bytes // bucket_bytes))
 
@@ -192,15 +228,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
             ]
             if local:
                 turn += 1
-                a = np.array(local, "<i8")
-                rows.append((hash((turn, int(a[0, 0]))) % buckets, a[:, 0].tobytes(), a[:, 1].astype("<i4").tobytes(), a[:, 2].astype("<i4").tobytes(), None))
+                a = np.array([x[:3] for x in local], "<i8")
+                rows.append((hash((turn, int(a[0, 0]))) % buckets, a[:, 0].tobytes(), a[:, 1].astype("<i4").tobytes(), a[:, 2].astype("<i4").tobytes(), b"".join(x[3] for x in local)))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "ids", "starts", "lengths", "words"])
 
         for b in batches:
             held: dict[bytes, list] = {}
-            local: list[tuple[int, int, int]] = []
+            local: list[tuple[int, int, int, bytes]] = []
             size = 0
             for ids, texts in _chunks(b):
                 for i, start, n, least, text in _super_kmers(texts, window, frequent):
@@ -211,9 +247,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                     elif old[0] == d:
                         old[1].append(start)
                     elif old[0] < d:
-                        local.append((d, start, span))
+                        local.append((d, start, span, _digest(text)))
                     else:
-                        local.extend((old[0], s, span) for s in old[1])
+                        told = _digest(text)
+                        local.extend((old[0], s, span, told) for s in old[1])
                         old[0], old[1] = d, [start]
                 if size > 8 * bucket_bytes:
                     yield from flush(held, local)
@@ -227,8 +264,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
         for b in batches:
             for i, s, length, words in zip(*[b.column(k).to_pylist() for k in ("ids", "starts", "lengths", "words")], strict=True):
                 i, s = np.frombuffer(i, "<i8"), np.frombuffer(s, "<i4")
-                if words is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s), pa.array(np.frombuffer(length, "<i4"))], ["doc_id", "start", "n"])
+                if length is not None:  # spans told already
+                    told = [words[k : k + 16] for k in range(0, len(words), 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s), pa.array(np.frombuffer(length, "<i4")), pa.array(told, pa.binary())], ["doc_id", "start", "n", "digest"])
                 else:
                     ids.append(i)
                     starts.append(s)
@@ -236,28 +274,32 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
         if not texts:
             return
         doc, start = np.concatenate(ids), np.concatenate(starts)
-        buf = np.frombuffer(b"\n".join(texts), np.uint8)
+        buf = np.frombuffer(b"\n".join(texts) + b" ", np.uint8)
         del texts
-        at, _, hashes = _words(buf)
+        gaps = np.flatnonzero((buf == 32) | (buf == 10))
+        at = np.concatenate([[0], gaps[:-1] + 1])
         # words of each string, and the string of each word
         line = np.searchsorted(np.flatnonzero(buf == 10), at, "right")
         sizes = np.bincount(line, minlength=len(doc))
-        del buf
+        buf = np.where(buf == 10, np.uint8(32), buf)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(buf)])
+        numbers = words.dictionary_encode().indices.to_numpy().astype(np.int64)
         n = len(at) - window + 1
         whole = np.flatnonzero(line[:n] == line[window - 1 :])
-        one, two = (r.slices(hashes, whole, whole + window) for r in (_ONE, _TWO))
         owner, place = doc[line[whole]], start[line[whole]] + whole - (np.cumsum(sizes) - sizes)[line[whole]]
-        rank = np.lexsort((two, one))
-        new = np.concatenate([[True], (one[rank][1:] != one[rank][:-1]) | (two[rank][1:] != two[rank][:-1])])
-        least = np.minimum.reduceat(owner[rank], np.flatnonzero(new))
+        rank, same = _same_as_before(numbers, whole, _ONE.slices(_mix(numbers.astype(np.uint64) + np.uint64(1)), whole, whole + window), window)
+        least = np.minimum.reduceat(owner[rank], np.flatnonzero(~same))
         copied = np.zeros(len(whole), bool)
-        copied[rank] = owner[rank] > least[np.cumsum(new) - 1]
+        copied[rank] = owner[rank] > least[np.cumsum(~same) - 1]
         hit = np.flatnonzero(copied)
         if len(hit):
             head = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(line[whole[hit]]) != 0)])
             heads = np.flatnonzero(head)
             length = np.diff([*heads, len(hit)]) + window - 1
-            yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4"))], ["doc_id", "start", "n"])
+            first = whole[hit[heads]]
+            raw, ends = buf.tobytes(), gaps[first + length - 1]
+            told = [_digest(raw[a:b]) for a, b in zip(at[first].tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4")), pa.array(told, pa.binary())], ["doc_id", "start", "n", "digest"])
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket long, ids binary, starts binary, lengths binary, words binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
@@ -270,15 +312,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Words are runs of anything but ASCII white space, unchanged. A word goes when a
     window covering it also starts in a row with a smaller id. Null text has no words
     and an empty kept text; a row with a null id keeps all and removes nothing elsewhere;
-    rows that repeat an id count as one document. Texts shorter than a window never match.
-    Columns of ``docs`` other than ``keep`` are not read.
+    rows that repeat an id are judged each by its own text and take nothing from each
+    other. Texts shorter than a window never match; an empty table gives none. Columns of
+    ``docs`` other than ``keep`` are not read, so their names don't matter.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
-    spans = duplicate_spans(rows.where("doc_id is not null").select("doc_id", "text"), window, bucket_bytes)
-    spans = settle(spans).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    spans = settle(duplicate_spans(rows.where("doc_id is not null").select("doc_id", "text"), window, bucket_bytes, (n_rows, n_bytes)))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
 
     names = ["doc_id", *[f"_{k}" for k in range(len(keep))]]
 
+    def holds(words: list[bytes], at: int, n: int, digest: bytes) -> bool:
+        return at + n <= len(words) and _digest(b" ".join(words[at : at + n])) == digest
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             kept, totals, gone = [], [], []
@@ -286,9 +333,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 words = (t.as_py() or b"").split()
                 n = len(words)
                 if s.is_valid:
-                    at = np.asarray(s.values.field("start"))
-                    ends = np.minimum(at + np.asarray(s.values.field("n")), n)
-                    depth = np.bincount(np.minimum(at, n), minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+                    own = {(x["start"], x["n"], x["digest"]) for x in s.as_py()}
+                    own = np.array([(a, a + m) for a, m, d in own if holds(words, a, m, d)], np.int64).reshape(-1, 2)
+                    depth = np.bincount(own[:, 0], minlength=n + 1) - np.bincount(own[:, 1], minlength=n + 1)
                     free = np.flatnonzero(np.cumsum(depth[:n]) == 0)
                     words = [words[k] for k in free.tolist()]
                 kept.append(b" ".join(words))
@@ -298,7 +345,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, "kept_text", "n_words", "n_removed"])
         give_back()
 
-    joined = rows.join(spans, "doc_id", "left").select(*names, "text", "spans")
+    # as many parts as the texts need, so that a task's share doesn't grow with the table
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // CUT_BYTES))
+    joined = rows.repartition(parts, "doc_id").join(spans.repartition(parts, "doc_id"), "doc_id", "left").select(*names, "text", "spans")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
     out = joined.mapInArrow(cut, f"{schema}, kept_text string, n_words long, n_removed long")
     return out.select("doc_id", *[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "kept_text", "n_words", "n_removed")

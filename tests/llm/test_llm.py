@@ -60,6 +60,33 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [1_024, 4_096])
+def test_substring_dedup_tells_thue_morse_words_apart(spark, letters):
+    odd = [bin(k).count("1") % 2 for k in range(letters)]
+    one, other = ("".join("ab"[x ^ flip] for x in odd) for flip in (0, 1))
+    share = [f"w{k}" for k in range(8)]
+    rows = [(1, " ".join([*share, one])), (2, " ".join([*share, other])), (3, " ".join([*share, one]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA), 9).collect()}
+    assert got == {1: 0, 2: 0, 3: 9}
+
+
+def test_substring_dedup_when_all_hashes_collide():
+    ids = np.array([0, 1, 2, 3, 9, 0, 1, 2, 3, 8, 4, 1, 2, 3], np.int64)
+    starts = np.arange(len(ids) - 3)
+    rank, same = substring_dedup._same_as_before(ids, starts, np.zeros(len(starts), np.uint64), 4)
+    groups = np.empty(len(starts), int)
+    groups[rank] = np.cumsum(~same)
+    want = [tuple(ids[s : s + 4]) for s in starts]
+    assert all((groups[a] == groups[b]) == (want[a] == want[b]) for a in starts for b in starts)
+
+
+def test_substring_dedup_judges_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, "x " + a), (7, b)]
+    got = sorted((r.doc_id, r.n_removed, r.n_words) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 60), (5, 0, 60), (5, 60, 60), (5, 60, 61), (7, 60, 60)]
+
+
 def brute_components(n, linked):
     root = list(range(n))
 
