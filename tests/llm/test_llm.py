@@ -301,6 +301,94 @@ def test_html(spark):
     assert sorted((r.n_chars, r.text) for r in html_extract.extract(rows).collect()) == sorted([(len(want), want), (0, ""), (5, "plain"), (0, "")])
 
 
+def _prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("aeioustrn") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def test_density_decides_without_declarations():
+    links = "".join(f"<li><a href={k}>some link text {k}</a></li>" for k in range(200))
+    one, two = [_prose(k, 90) for k in range(3)], [_prose(9 + k, 90) for k in range(3)]
+    page = f"<body><div><ul>{links}</ul></div><h1>A heading of the page</h1><div>{''.join(f'<p>{t}</p>' for t in one)}</div><section>{''.join(f'<p>{t}</p>' for t in two)}</section><div><ul>{links}</ul></div></body>"
+    want = " ".join(["A heading of the page", *one, *two])  # both containers, and the heading beside them
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page, density=lambda *_: 1.0) != want
+
+
+def test_layout_elements_keep_their_article():
+    text = _prose(3, 60)
+    story = f"<article><h1>Head</h1><p>{text} <math>x+1</math> <svg><text>label</text></svg></p><form><input><button>Send</button></form></article>"
+    want = f"Head {text} x+1 label"
+    for page in (
+        f"<body><form id=aspnet><nav><a href=1>Menu</a></nav>{story}</form></body>", f"<body><div class='layout has-sidebar no-comments'>{story}<div class=sidebar>Side text</div></div></body>",
+        f"<body><div class=widget>{story}</div><footer>foot</footer></body>", f"<body>{story.replace('<form>', '<SCRIPT>var x</SCRIPT>\u0130<form>')}<div>{'<a href=x>tail link</a> ' * 9}</div></body>",
+    ):
+        assert html_extract.main_text(page).replace("\u0130", "").strip() == want
+    assert html_extract.main_text(f"<body><form><p>{text}</p></form><footer>foot</footer></body>") == text
+    assert html_extract.main_text(f"<body><article><p>{text}</p></article><article><p>{text} two</p></article><div class=comments><article><p>{text} {text} reader</p></article></div></body>") == f"{text} {text} two"
+
+
+def test_densities_match_brute_force():
+    import math
+
+    r = random.Random(21)
+
+    def make(depth):
+        tag = r.choice(["div", "section", "b", "a"] if depth else ["div"])
+        return (tag, [make(depth + 1) if r.random() < 0.5 and depth < 5 else _prose(r.random(), r.randint(1, 9)) for _ in range(r.randint(1, 4))])
+
+    def show(x):
+        return f" {x} <wbr>" if isinstance(x, str) else f"<{x[0]}>{''.join(map(show, x[1]))}</{x[0]}>"
+
+    def count(x, link=False):  # characters, of links, tags, link tags below
+        if isinstance(x, str):
+            return len(x), len(x) if link else 0, 0, 0
+        parts = [(y, count(y, link or x[0] == "a")) for y in x[1]]
+        return tuple(sum(c[k] + (0 if isinstance(y, str) or k < 2 else int(k == 2 or y[0] == "a")) for y, c in parts) for k in range(4))
+
+    for _ in range(30):
+        tree = ("body", [make(0) for _ in range(3)])
+        whole = count(tree)
+
+        def dense(x):
+            c, lc, t, lt = count(x[0], x[1])
+            base = math.log(c / max(c - lc, 1) * lc + whole[1] / whole[0] * c + math.e)
+            return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(max(base, math.e))
+
+        want = []
+
+        def walk(x, link):
+            kids = [(y, link or x[0] == "a") for y in x[1] if not isinstance(y, str)]
+            want.append((dense((x, link)), sum(map(dense, kids))))
+            for y, inner in kids:
+                walk(y, inner)
+
+        walk(tree, False)
+        dom = html_extract._Page(show(tree))
+        got = html_extract._Measures(dom)
+        assert len(want) == len(dom.tags) - 1
+        assert np.allclose(want, list(zip(got.density, got.sums, strict=True))[1:])
+
+
+@pytest.mark.parametrize("page", ["<span>" * 40_000 + "<p>" * 40_000, "<p" * 300_000, '<a =">"' * 100_000, "<ul><li>" * 30_000, "<b>" * 50_000 + "</i>" * 50_000, '<a x="' * 100_000, "word " * 400_000])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    def took(p):
+        best = 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            html_extract.main_text(p)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(page) < 8 * took(page[: len(page) // 4]) + 0.5
+
+
+def test_html_of_an_empty_table(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_url_rules_and_trees(spark):
     rows = [(1, "http://A.example.ORG/es/1?q"), (2, "https://x.example.org/en/12"), (3, "http://example.org"), (4, "http://b.com/fr/2#t"), (5, "http://b.com/de/"), (6, None), (7, "no scheme"), (8, "http://notorg/x"), (9, "x://y?z://w/q"), (10, "http://casino-x.net/a/b?c=1&d=2"), (10, "http://plain.net/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
