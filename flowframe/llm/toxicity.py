@@ -1,17 +1,18 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons of words and patterns of word beginnings found in labelled
-documents, besides fixed ones. A generative label model learns from their agreement how
-often each is right in either class, and how far their errors go together given the
-class, which discounts votes that repeat each other. A linear classifier over the same
-terms is then trained on the posterior labels and scores any text.
+Voters are fixed lexicons and patterns, and lexicons of words and of word beginnings that
+are each learned from another part of the labelled documents, so that no two voters share
+a list. A lexicon of words votes toxic where one of its words stands and clean where none
+does; a calm text is a vote for clean as well. A generative label model learns from the
+voters' agreement how often each is right in either class, and how far their errors go
+together given the class, which discounts votes that repeat each other. A linear
+classifier over terms is then trained on the posterior labels and scores any text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import sample_fraction, settle
 
-#: Labelled documents of each class that are looked at, and terms kept.
-DOCS_PER_CLASS, TERMS = 4_000, 1_500
-#: Documents and share of the toxic class that a term needs, and how many times likelier it is there at the least
-#: (two standard deviations below what was counted).
-SUPPORT, SHARE, LIFT = 4, 0.008, 8.0
+#: Labelled documents of each class that are looked at.
+DOCS_PER_CLASS = 4_000
+#: Documents and share of the toxic class that a term needs, and how many times likelier it is there at the least, so many
+#: standard deviations below what was counted; a voter's terms may be less sure, as its accuracy is estimated anyway.
+SUPPORT, SHARE, LIFT, DEVIATIONS, VOTER_DEVIATIONS = 3, 0.008, 8.0, 2.0, 0.5
 PREFIXES = (4, 5, 6)
-#: Common insults.
+#: Parts of the labelled documents; each has a lexicon of words and one of beginnings of one length.
+PARTS = len(PREFIXES)
+#: Words that a text needs for finding none of a lexicon's in it to be a vote.
+WORDS_TO_CLEAR = 5
+#: Common insults, chosen by us.
 INSULTS = frozenset("idiot moron stupid loser scum trash pathetic disgusting worthless clown fool dumb jerk imbecile filth".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _TALK = re.compile(r"\b(?:you|your|they|these)\b", re.I)
@@ -43,25 +48,29 @@ def terms(text: str | None) -> set[str]:
     return found
 
 
-def _lexicon_voters(chosen: dict[str, int]) -> list[frozenset[str]]:
-    """Words dealt to three lexicons, and one pattern voter for each length of beginning."""
-    words = [t for t in chosen if "^" not in t]
-    return [frozenset(w for w in words if zlib.crc32(w.encode()) % 3 == k) for k in range(3)] + [frozenset(t for t in chosen if t.startswith(f"{n}^")) for n in PREFIXES]
-
-
-def votes(text: str | None, found: set[str], voters: list[frozenset[str]]) -> list[int]:
-    """1 toxic, -1 clean, 0 no opinion, from each lexicon and pattern."""
-    text = text or ""
-    hits = [len(found & v) for v in voters]
-    letters = sum(map(str.isalpha, text)) or 1
-    upper = sum(map(str.isupper, text))
-    return [
-        *[1 if h else 0 for h in hits],
-        1 if sum(hits) >= 2 else -1 if sum(hits) == 0 else 0,
-        1 if found & INSULTS else 0,
-        1 if upper > 0.6 * letters and text.count("!") > 3 else 0,
-        1 if found & INSULTS and _TALK.search(text) else 0,
-    ]
+@dataclass
+class Voters:
+    """The learned lexicons: words, and beginnings of words, of each part."""
+
+    words: list[frozenset[str]]
+    starts: list[frozenset[str]]
+
+    def votes(self, text: str | None, found: set[str]) -> list[int]:
+        """1 toxic, -1 clean, 0 no opinion."""
+        text = text or ""
+        plain = [t for t in found if "^" not in t]
+        enough = len(plain) >= WORDS_TO_CLEAR
+        letters = sum(map(str.isalpha, text)) or 1
+        upper, cries = sum(map(str.isupper, text)), text.count("!")
+        insult = not INSULTS.isdisjoint(found)
+        return [
+            *[0 if not own else 1 if not own.isdisjoint(found) else -1 if enough else 0 for own in self.words],
+            *[0 if own.isdisjoint(found) else 1 for own in self.starts],
+            1 if insult else 0,
+            1 if insult and _TALK.search(text) else 0,
+            1 if upper > 0.6 * letters and cries > 3 else 0,
+            -1 if enough and not insult and not cries and upper < 0.3 * letters else 0,
+        ]
 
 
 @dataclass
@@ -81,9 +90,10 @@ class LabelModel:
 
 
 def fit_label_model(v: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-    """EM from the majority of votes; no labels are used but the share of class 1."""
+    """EM, begun with the number of votes for toxic; no labels are used but the share of class 1."""
     n, k = v.shape
-    p = 1 / (1 + np.exp(-2.0 * v.sum(axis=1)))
+    hits = (v == 1).sum(axis=1)
+    p = np.where(hits > 0, 1 - 0.3**hits, 0.02)
     model = LabelModel(min(max(prior, 0.01), 0.99), np.full((k, 2, 3), 1 / 3), np.ones(k))
     for _ in range(rounds):
         for j in range(k):
@@ -130,30 +140,55 @@ def _linear(rows: list[list[int]], size: int, target: np.ndarray, share: np.ndar
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, n_terms: int = TERMS) -> ToxicityModel:
-    """From ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) covers, about ``docs_per_class`` of each class."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _prior_only(prior: float) -> ToxicityModel:
+    prior = min(max(prior, 0.01), 0.99)
+    return ToxicityModel({}, np.zeros(0), math.log(prior / (1 - prior)), None)
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS) -> ToxicityModel:
+    """From ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) covers, about ``docs_per_class`` of each class.
+
+    Null ids have no label; an id labelled both ways counts as toxic; rows that repeat an
+    id count each with its label; null texts count as empty. Where no document of one of
+    the classes is found, every text gets the share of class 1 (0.01 to 0.99; 0.01 without labels).
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    prior = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     if len(sizes) < 2:
-        return ToxicityModel({}, np.zeros(0), -5.0 if 1 not in sizes else 5.0, None)
-    prior = sizes[1] / sum(sizes.values())
+        return _prior_only(prior)
     few = known.where(F.when(F.col("toxic") == 1, sample_fraction(F.col("doc_id"), docs_per_class / sizes[1])).otherwise(sample_fraction(F.col("doc_id"), docs_per_class / sizes[0])))
     rows = settle(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"))  # at most twice docs_per_class ids
 
+    got = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(got) < 2:
+        return _prior_only(prior)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for t, y, part in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = list(terms(t.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], ["term", "toxic"])
-
-    got = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = got.get(1, 0), got.get(0, 0)
-    counted = rows.select("text", "toxic").mapInArrow(emit, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    lift = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
-    sure = ((F.col("a") - 2 * F.sqrt("a")) / n1) / ((F.col("b") + 2) / n0)
-    best = counted.where((F.col("a") >= max(SUPPORT, SHARE * n1)) & (sure >= LIFT)).orderBy((F.log(lift) * F.sqrt("a")).desc(), "term").limit(n_terms)
-    index = {r.term: k for k, r in enumerate(best.select("term").collect())}
-    voters = _lexicon_voters(index)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32()), pa.array([part] * len(own), pa.int32())], ["term", "toxic", "part"])
+
+    dealt = rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    size = {(r.part, r.toxic): r.n for r in dealt.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
+    seen = lambda toxic, part=None: F.coalesce(F.sum(F.when((F.col("toxic") == toxic) & (F.lit(True) if part is None else F.col("part") == part), 1)), F.lit(0))
+    counted = dealt.mapInArrow(emit, "term string, toxic int, part int").groupBy("term").agg(
+        seen(1).alias("a"), seen(0).alias("b"), *[seen(y, k).alias(f"{'ba'[y]}{k}") for k in range(PARTS) for y in (0, 1)]
+    )
+
+    def telling(a: str, b: str, n1: int, n0: int, deviations: float):
+        sure = ((F.col(a) - deviations * F.sqrt(a)) / max(n1, 1)) / ((F.col(b) + 2) / max(n0, 1))
+        return (F.col(a) >= max(SUPPORT, SHARE * n1)) & (sure >= LIFT)
+
+    marks = [telling(f"a{k}", f"b{k}", size.get((k, 1), 0), size.get((k, 0), 0), VOTER_DEVIATIONS) for k in range(PARTS)]
+    told = counted.select("term", telling("a", "b", got[1], got[0], DEVIATIONS).alias("any"), F.array(*marks).alias("parts")).where(F.col("any") | F.array_contains("parts", True)).collect()
+    told.sort(key=lambda r: r.term)
+    index = {r.term: k for k, r in enumerate(r for r in told if r.any)}
+    voters = Voters(
+        [frozenset(r.term for r in told if r.parts[k] and "^" not in r.term) for k in range(PARTS)],
+        [frozenset(r.term for r in told if r.parts[k] and r.term.startswith(f"{n}^")) for k, n in enumerate(PREFIXES)],
+    )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,22 +196,23 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
             for t in b.column(0):
                 own = terms(t.as_py())
                 on.append(sorted(index[x] for x in own if x in index))
-                cast.append(votes(t.as_py(), own, voters))
+                cast.append(voters.votes(t.as_py(), own))
             yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(cast, pa.list_(pa.int32()))], ["on", "votes"])
 
-    seen = rows.select("text").mapInArrow(look, "on array<int>, votes array<int>").collect()
-    v = np.array([r.votes for r in seen], np.int64)
-    model = fit_label_model(v, n1 / (n1 + n0))
+    looked = rows.select("text").mapInArrow(look, "on array<int>, votes array<int>").collect()
+    v = np.array([r.votes for r in looked], np.int64)
+    model = fit_label_model(v, got[1] / (got[1] + got[0]))
     target = model.posterior(v)
     share = np.where(target > 0.5, prior / max(target.mean(), 1e-3), (1 - prior) / max(1 - target.mean(), 1e-3)) / len(v)
-    weights, bias = _linear([r.on for r in seen], len(index), target, share)
+    weights, bias = _linear([r.on for r in looked], len(index), target, share)
     return ToxicityModel(index, weights, bias, model)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score double) per row, from the whole text alone; null and empty texts get the score of no term.
 
-    Where the labels hold one class only, all texts score alike. Other columns are not read.
+    Repeated and null ids yield a row each, an empty table none. Where the labels hold one
+    class only, all texts score alike. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
