@@ -35,7 +35,9 @@ SIGNS = ".,;:!?%$#&*+=-/|()[]{}<>@~^\""
 
 
 class _Ids:
-    """Words' ids as little-endian unsigned 32-bit bytes.
+    """Words' ids as little-endian unsigned 32-bit bytes, as a plain call of the tokenizer gives them.
+
+    So the strings of its special tokens become those tokens.
 
     A word that is letters, then perhaps other signs, has the ids of its lower-cased
     letters and those of the signs, which the tokenizer takes apart as well. Letters are
@@ -47,7 +49,6 @@ class _Ids:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
@@ -248,13 +249,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Only texts of more than ``capacity`` ids
-    are cut. Pieces of a sequence follow each other without gaps. Rows that repeat an id
-    are packed like any other; a null id stays null. Other columns are not read.
-    ``tokenizer_path`` is a file that every executor has and that drops white space.
+    are cut. Pieces of a sequence follow each other without gaps. A piece of ``capacity``
+    ids is a sequence by itself; the others are dealt to groups at random, so equal rows
+    don't gather in one. Rows that repeat an id are packed like any other; a null id stays
+    null; an empty table gives no rows. Other columns are not read. ``tokenizer_path`` is a
+    file that every executor has and that drops white space.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
     pieces = settle(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    groups = max(1, -(-pieces.count() // group))
+    # rows of the settled table keep their order, so their numbers are the same whenever they are asked for
+    number = F.monotonically_increasing_id()
+    full = pieces.where(F.col("length") == capacity)
+    open_ = pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-open_.count() // group))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
@@ -267,5 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 at += lengths[i]
         return pdf.assign(sequence_id=key[0] * (1 << 32) + number, offset=offset).drop(columns="dealt")
 
-    dealt = pieces.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("dealt").applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    whole = full.select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = open_.withColumn("dealt", F.pmod(F.xxhash64(number), F.lit(groups)))
+    packed = dealt.groupBy("dealt").applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.unionByName(whole)
