@@ -30,12 +30,14 @@ CELL, MAX_PIVOTS, TILE = 2_000, 4_096, 8_192
 SLICE = 512
 
 
-def _unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = np.array(col.flatten(), dtype=np.float64).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are first scaled by a power of two, which loses nothing, so that no square over- or underflows."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
+def _assign(distinct: DataFrame, pivots: dict, radius: float, stored: str) -> DataFrame:
     """A row per vector and cell that needs it: (part, cell, own, rep, n, vec); ``pivots`` holds the unit pivots of parts that have some."""
     held = distinct.sparkSession.sparkContext.broadcast(pivots)
 
@@ -46,7 +48,8 @@ def _assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
                 of_key = b.filter(pa.array(keys == key))
                 for rows in (of_key.slice(at, SLICE) for at in range(0, of_key.num_rows, SLICE)):
                     vec = rows.column("embedding")
-                    x = _unit(vec, len(vec[0]))
+                    given = np.array(vec.flatten(), dtype=np.float64).reshape(-1, len(vec[0]))
+                    x = _unit(given)
                     every = np.arange(len(x))
                     if (centres := held.value.get(int(key))) is None:  # one cell for all
                         i = every
@@ -62,8 +65,9 @@ def _assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
                         need = (dist <= nearest + 2 * radius + 1e-9) & ~beyond
                         need[every, home] = True
                         i, c = np.nonzero(need)
-                    raw = x.tobytes()
-                    w = 8 * x.shape[1]
+                    # as narrow as it was given, since most vectors go to several cells
+                    raw = given.astype(stored).tobytes()
+                    w = np.dtype(stored).itemsize * x.shape[1]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(i), key)), pa.array(c), pa.array(home[i] == c), rows.column("rep").take(pa.array(i)), rows.column("n").take(pa.array(i)), pa.array([raw[k * w : (k + 1) * w] for k in i.tolist()], pa.binary())],
                         ["part", "cell", "own", "rep", "n", "vec"],
@@ -72,13 +76,13 @@ def _assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
     return distinct.select("part", "rep", "n", "embedding").mapInArrow(run, "part long, cell long, own boolean, rep long, n long, vec binary")
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, stored: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ask, against = pdf[pdf.ask], pdf[pdf.against]
         if ask.empty or against.empty:
             return pd.DataFrame({"rep": [], "other": [], "links": []}).astype("int64")
-        q = np.frombuffer(b"".join(ask.vec), np.float64).reshape(len(ask), -1)
-        t = np.frombuffer(b"".join(against.vec), np.float64).reshape(len(against), -1)
+        q = _unit(np.frombuffer(b"".join(ask.vec), stored).reshape(len(ask), -1))
+        t = _unit(np.frombuffer(b"".join(against.vec), stored).reshape(len(against), -1))
         qr, tr, n = ask.rep.to_numpy(), against.rep.to_numpy(), against.n.to_numpy()
         reps, index = np.unique(np.concatenate([qr, tr]), return_inverse=True)
         qi, ti = index[: len(qr)], index[len(qr) :]
@@ -112,9 +116,9 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     spark = vectors.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    stored = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & (square > 0) & (square < float("inf"))
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0)
     rows = settle(rows.withColumn("sound", F.coalesce(sound, F.lit(False))))
     distinct = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     distinct = settle(distinct.withColumn("part", F.xxhash64("label", F.size("embedding"))))
@@ -124,9 +128,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     chosen = distinct.where(sample_fraction(F.col("rep"), min(1 / cell, MAX_PIVOTS / max(total, 1)))).join(large, "part", "left_semi")
     pivots: dict[int, list] = {}
     for r in chosen.select("part", "rep", "embedding").toLocalIterator():
-        v = np.array(r.embedding, np.float64)
-        pivots.setdefault(r.part, []).append((r.rep, v / np.linalg.norm(v)))
-    placed = settle(_assign(distinct, {k: np.stack([v for _, v in sorted(own, key=lambda x: x[0])]) for k, own in pivots.items()}, radius))
+        pivots.setdefault(r.part, []).append((r.rep, _unit(np.array([r.embedding], np.float64))[0]))
+    placed = settle(_assign(distinct, {k: np.stack([v for _, v in sorted(own, key=lambda x: x[0])]) for k, own in pivots.items()}, radius, stored))
     cut = placed.groupBy("part", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     grid = F.sequence(F.lit(0), F.col("tiles") - 1)
@@ -136,7 +139,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         F.transform(grid, lambda a: F.struct(a.alias("a"), F.col("mine").alias("b"), (F.col("own") & (a == F.col("mine"))).alias("ask"), F.lit(True).alias("against"))),
         F.transform(F.filter(grid, lambda b: F.col("own") & (b != F.col("mine"))), lambda b: F.struct(F.col("mine").alias("a"), b.alias("b"), F.lit(True).alias("ask"), F.lit(False).alias("against"))),
     )))
-    found = settle(spread.select("part", "cell", "pair.*", "rep", "n", "vec").groupBy("part", "cell", "a", "b").applyInPandas(_compare(cosine), "rep long, other long, links long"))
+    found = settle(spread.select("part", "cell", "pair.*", "rep", "n", "vec").groupBy("part", "cell", "a", "b").applyInPandas(_compare(cosine, stored), "rep long, other long, links long"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
