@@ -41,22 +41,16 @@ def allowed(size: int, masks: tuple = MASKS, window: int = WINDOW, substitutions
     return max((e for e in range(substitutions + 1) if lossless(masks, min(size, window), e)), default=-1)
 
 
-def _seeds(hashes: str, masks: tuple) -> Column:
-    """A hash for each mask and start position, masks one after the other; parts past the end are left out."""
-    n = F.size(hashes)
-
-    def of(number: int, mask: tuple):
-        return lambda i: F.xxhash64(F.lit(number), *[F.get(F.col(hashes), i + o) for o in mask])
-
-    each = [F.transform(F.sequence(F.lit(0), n - 1), of(k, m)) for k, m in enumerate(masks)]
-    return F.when(n > 0, F.concat(*each))
-
-
 def _hashed(df: DataFrame, key: str, masks: tuple) -> DataFrame:
-    """(key, seed, pos) of every window."""
+    """(key, seed, pos) of every window of each mask; positions past the end count as empty tokens.
+
+    The windows of a text are made from its array of token hashes after it was exploded, so
+    that all of it runs in generated code and nothing but the seeds leaves the row.
+    """
     h = df.select(key, F.transform("tokens", lambda w: F.xxhash64(w)).alias("h"))
-    s = h.select(key, F.size("h").alias("size"), F.posexplode(_seeds("h", masks)).alias("at", "seed"))
-    return s.select(key, "seed", "size", F.expr("at % size").cast("int").alias("pos"), F.expr("at div size").cast("int").alias("mask"))
+    at = h.select(key, "h", F.posexplode("h").alias("pos", "first"))
+    of = [F.struct(F.xxhash64(F.lit(k), "first", *[F.get(F.col("h"), F.col("pos") + o) for o in mask[1:]]).alias("seed"), (F.col("pos") + mask[-1] < F.size("h")).alias("inside")) for k, mask in enumerate(masks)]
+    return at.select(key, "pos", F.explode(F.array(*of)).alias("w")).select(key, "w.seed", "pos", "w.inside")
 
 
 def _whole(word: DataFrame, short: DataFrame) -> DataFrame:
@@ -81,16 +75,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     replaced (fewer for short items, see ``allowed``). Of several alignments the one with
     most tokens equal counts, then the first. Items of fewer than SHORTEST tokens are found
     where all their tokens stand in a row. Items without a token, null texts and null ids
-    are never found. Rows that repeat an id count as one document when
-    reported. Other columns are not read.
+    are never found. Rows that repeat an id, of documents or items, count as one when
+    reported, whatever texts they have: the best alignment of any of them. Texts of any
+    length are read whole; an empty table on either side finds nothing. Other columns are
+    not read, so their names don't matter.
     """
     span = max(m[-1] for m in masks) + 1
     word = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("tokens")).where("doc_id is not null")
     every = items.select(F.col(item_col).alias("item_id"), tokens(item_text).alias("tokens")).where(F.col("item_id").isNotNull() & (F.size("tokens") > 0))
     item = every.where(F.size("tokens") >= max(SHORTEST, span))
     short = settle(every.where(F.size("tokens") < max(SHORTEST, span)).distinct())
-    ends = F.element_at(F.array(*[F.lit(m[-1]) for m in masks]), F.col("mask") + 1)
-    seeds = settle(_hashed(item, "item_id", masks).where(F.col("pos") + ends < F.col("size")).select("item_id", "seed", F.col("pos").alias("item_pos")).distinct())
+    seeds = settle(_hashed(item, "item_id", masks).where("inside").select("item_id", "seed", F.col("pos").alias("item_pos")).distinct())
     hits = _hashed(word, "doc_id", masks).select("doc_id", "seed", "pos").join(broadcast_if_small(seeds), "seed")
     hits = settle(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct())
     tolerated = F.lit(-1)
@@ -110,13 +105,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     aligned = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(broadcast_if_small(hits), "doc_id")
         .select("doc_id", "item_id", "start", tokens("text").alias("tokens"))
-        .join(broadcast_if_small(item.withColumnRenamed("tokens", "item_tokens"), size=F.octet_length(F.array_join("item_tokens", " "))), "item_id")
+        .join(broadcast_if_small(item.withColumnRenamed("tokens", "item_tokens")), "item_id")
         .select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), width.alias("width"), tolerated.alias("tolerated"), F.transform(F.array(same), judged)[0].alias("got"))
     )
     found = aligned.where(F.col("got.best") >= F.col("width") - F.col("tolerated")).select("doc_id", "item_id", "start", "got.matched", "n_tokens")
     if not short.isEmpty():
         found = found.unionByName(_whole(word, short))
-    return found.groupBy("doc_id", "item_id", "n_tokens").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"))).alias("best")).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.matched", "n_tokens")
+    best = F.max(F.struct("matched", (-F.col("start")).alias("back"), "n_tokens")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.matched", "best.n_tokens")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

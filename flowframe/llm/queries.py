@@ -123,11 +123,11 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c
 _OP5 = r"""
 WITH d AS (
   SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (
-    SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}\x09-\x0D ]+', '', 'g'), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}\x09-\x0D\x1C-\x1F\x20\x85\p{Z}]+', '', 'g'), '[\x09-\x0D\x1C-\x1F\x20\x85\p{Z}]+'), lambda x: x <> '') AS w FROM documents)
 ), items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}\x09-\x0D ]+', '', 'g'), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}\x09-\x0D\x1C-\x1F\x20\x85\p{Z}]+', '', 'g'), '[\x09-\x0D\x1C-\x1F\x20\x85\p{Z}]+'), lambda x: x <> '') AS w FROM benchmark
 ), b AS (
-  SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM items WHERE len(w) >= 13
+  SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM items
 ), same AS (
   SELECT doc_id, item_id, n, i - k AS start, k FROM d JOIN b ON d.w = b.w
 ), runs AS (
@@ -135,7 +135,7 @@ WITH d AS (
     count(*) OVER (PARTITION BY doc_id, item_id, start) AS matched
   FROM same
 ), found AS (
-  SELECT doc_id, item_id, n, start, matched FROM runs GROUP BY ALL HAVING max(here) >= least(n, 16) - CASE WHEN n >= 16 THEN 2 ELSE 1 END
+  SELECT doc_id, item_id, n, start, matched FROM runs GROUP BY ALL HAVING max(here) >= least(n, 16) - CASE WHEN n >= 16 THEN 2 WHEN n >= 13 THEN 1 ELSE 0 END
 )
 SELECT doc_id, item_id, CAST(-max_by(-start, (matched, -start)) AS INTEGER) AS start, CAST(max(matched) AS INTEGER) AS matched, CAST(n AS INTEGER) AS n_tokens
 FROM found GROUP BY doc_id, item_id, n

@@ -189,17 +189,30 @@ def test_embedding_links_match_brute_force(spark, cell, tile):
     centre = g.normal(size=(6, 8))
     rows = [(k, (centre[k % 6] + g.normal(size=8) * 0.22 * (k % 5)).tolist(), k % 2 if k % 11 else None) for k in range(120)]
     rows += [(200, rows[2][1], rows[2][2]), (201, None, 1), (202, [0.0] * 8, 1), (203, [float("nan")] + [1.0] * 7, 1), (204, [None] + [1.0] * 7, 1), (205, [float("inf")] * 8, 1), (206, [], 1), (None, rows[2][1], 0), (207, [1.0, 2.0], 0)]
+    rows += [(208, [3e200] * 8, 9), (209, [1e200] * 8, 9), (210, [1e-300] * 8, 9), (211, [-1e200] * 8, 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("clash"))
     got = {r.vec_id: r for r in embedding_dedup.embedding_links(df, cell=cell, tile=tile).collect()}
-    sound = {i: (np.array(v), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    sound = {i: (np.array(v) / max(map(abs, v)), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     linked = [(i, j) for i in sound for j in sound if i != j and sound[i][1] == sound[j][1] and len(sound[i][0]) == len(sound[j][0]) and sound[i][0] @ sound[j][0] / np.linalg.norm(sound[i][0]) / np.linalg.norm(sound[j][0]) >= 0.93]
-    want = brute_components(210, linked)
-    assert len(linked) > 20 and len(got) == len(rows)
+    want = brute_components(220, linked)
+    assert len(linked) > 20 and (208, 210) in linked and len(got) == len(rows)
     for i in got.keys() - {None}:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(a == i for a, _ in linked), want[i], want[i] == i)
     assert embedding_dedup.embedding_links(df.where("false")).count() == 0
 
 
+def test_embedding_links_at_the_threshold(spark):
+    c = 0.93
+    at = [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0], 1), (2, at, 1), (3, [c - 1e-9, at[1]], 1), (4, [0.8, 0.6], 2), (5, [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df).collect()}
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    assert got[1] == sum(cos(rows[0][1], rows[k][1]) >= c for k in (1, 2)) and got[4] == got[5] == 0
+    exact = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df, cosine=0.8).collect()}
+    assert exact[4] == exact[5] == 1  # 0.8 itself links
+
+
 PROSE = {"en": "the quick house and garden with many green things", "de": "das schnelle haus und der garten mit vielen dingen", "fr": "la maison rapide et le jardin avec beaucoup de choses"}
 
 
@@ -236,9 +249,36 @@ def test_toxicity(spark):
     assert toxicity.train(docs, marks.where("toxic = 0")).score("any") < 0.5
 
 
+def test_toxicity_without_documents_or_labels(spark):
+    docs = spark.createDataFrame([(k, f"some plain words {k}") for k in range(6)] + [(2, "again"), (None, None)], SCHEMA)
+    marks = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    empty, none = docs.where("false"), marks.where("false")
+    assert toxicity.train(empty, marks).score("x") == pytest.approx(2 / 3)
+    assert toxicity.train(docs, none).score("x") == pytest.approx(0.01)
+    assert toxicity.train(docs, marks.where("toxic = 1")).score("x") == pytest.approx(0.99)
+    assert toxicity.score(empty, toxicity.train(empty, none)).count() == 0
+    got = toxicity.score(docs, toxicity.train(docs, marks)).collect()
+    assert len(got) == 8 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_votes_see_whole_texts():
     shout = "ab " * 2_000 + "LOUD!!!! " * 3_000
-    assert toxicity.votes(shout, toxicity.terms(shout), [])[-2] == 1
+    assert toxicity.Voters([], []).votes(shout, toxicity.terms(shout))[2] == 1
+
+
+def test_voters_can_vote_clean():
+    voters = toxicity.Voters([frozenset(["grumf"]), frozenset(["zolk"]), frozenset()], [frozenset(["4^grum"])])
+    vote = lambda t: voters.votes(t, toxicity.terms(t))
+    assert vote("a calm text of some more words") == [-1, -1, 0, 0, 0, 0, 0, -1]
+    assert vote("that grumfy zolk is an idiot, you know") == [-1, 1, 0, 1, 1, 1, 0, 0]
+
+
+def test_toxicity_on_the_tables(spark):
+    got = queries.op6_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    hits = {(r.toxic, r.predicted): r["count"] for r in got.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    print(hits)
+    assert hits[1, 1] >= 0.7 * (hits[1, 1] + hits.get((1, 0), 0)) and hits.get((0, 1), 0) <= 0.01 * hits[0, 0]
 
 
 def test_label_model_weighs_voters():
@@ -276,6 +316,9 @@ def test_decontamination_of_short_items_and_white_space(spark):
     rows = [(1, f"before {item(1, 12)} after"), (2, "x " + item(2).replace(" ", "\u00a0")), (3, "one WORD here"), (4, item(1, 11)), (5, f"{item(3, 5)} {item(3, 5)}"), (6, None), (7, item(1, 12).replace(" ", "\u2003"))]
     items = spark.createDataFrame([(1, item(1, 12)), (2, item(2)), (3, item(3, 5)), (4, "word"), (5, ""), (6, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.matched, r.n_tokens) for r in decontaminate.contaminated(frame(spark, rows), items).collect()}
+    again = items.unionByName(spark.createDataFrame([(3, item(9, 20))], items.schema))  # one id, two texts
+    more = {(r.doc_id, r.item_id): r.n_tokens for r in decontaminate.contaminated(frame(spark, [*rows, (8, item(9, 20)), (9, "pad " * 100_000 + item(2))]), again).collect()}
+    assert more[8, 3] == 20 and more[5, 3] == 5 and more[9, 2] == 30
     assert got == {(1, 1): (1, 12, 12), (2, 2): (1, 30, 30), (3, 4): (1, 1, 1), (5, 3): (0, 5, 5), (7, 1): (0, 12, 12)}
 
 
@@ -437,16 +480,32 @@ def test_local_search_sees_every_underfull_bin():
     assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 12 for b in bins) and len(bins) == 40
 
 
+def test_local_search_beats_best_fit_on_a_table(spark):
+    r = random.Random(1)
+    sizes = [r.randint(13, 34) for _ in range(400)]  # ids with the end id
+    rows = [(k, " ".join(["the"] * (n - 1))) for k, n in enumerate(sizes)]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA), queries.tokenizer_path(), capacity=100).collect()
+    assert sorted(x.length for x in out) == sorted(sizes)
+    assert -(-sum(sizes) // 100) <= len({x.sequence_id for x in out}) < len(packing.best_fit(sizes, 100))
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    out = packing.pack(spark.createDataFrame([(7, "a b c")] * 300 + [(8, "a b c d e f g")] * 20, SCHEMA).repartition(3), queries.tokenizer_path(), capacity=8, group=20).collect()
+    assert len(out) == 320 and len({r.sequence_id >> 32 for r in out if r.sequence_id >= 0}) > 10
+    assert all(r.offset == 0 for r in out if r.length == 8) and len({r.sequence_id for r in out if r.length == 8}) == 20
+
+
 def test_packing_deals_pieces_not_documents(spark):
-    out = packing.pack(spark.createDataFrame([(1, "a b c d " * 100)], SCHEMA), queries.tokenizer_path(), capacity=8, group=10).collect()
-    assert len(out) > 40 and len({r.sequence_id >> 32 for r in out}) > 3
+    rows = [(1, "a b c d " * 100), *[(2 + k, "a b c") for k in range(40)]]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA), queries.tokenizer_path(), capacity=8, group=10).collect()
+    assert len(out) > 80 and len({r.sequence_id >> 32 for r in out if r.sequence_id >= 0}) > 3
 
 
 def test_packing_ids(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    odd = ["Don't stop... it's 3rd-rate!!", "ÉTÉ Straße e\u0301t\u00e9 ΟΔΟΣ Σ İstanbul", "a.b,c  d\tE\n\nF <x> ½ x² _y_ ''s", "日本語 テキスト 🙂👍", "x" * 3000 + " tail.", "word, " * 6000]
+    odd = ["hello <|endoftext|> world", "x<|endoftext|>y<|startoftext|>. <|ENDOFTEXT|> <|endoftext|", "<|endoftext|>", "Don't stop... it's 3rd-rate!!", "ÉTÉ Straße e\u0301t\u00e9 ΟΔΟΣ Σ İstanbul", "a.b,c  d\tE\n\nF <x> ½ x² _y_ ''s", "日本語 テキスト 🙂👍", "x" * 3000 + " tail.", "word, " * 6000]
     rows = [*EDGES, *[(100 + k, t) for k, t in enumerate(odd)]]
     out = packing.pack(frame(spark, rows), queries.tokenizer_path()).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
