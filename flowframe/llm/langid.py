@@ -2,30 +2,31 @@
 
 A known word scores its log frequency in each language. An unseen word is cut into
 character n-grams, the longest ones of which any is known give their mean log
-frequency. Counts come from a bounded, stratified sample of labelled documents.
+frequency. All words and n-grams of a bounded, stratified sample of labelled documents
+are known.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sample_fraction, worker_cache
+from .common import sample_fraction, settle, worker_cache
 
-#: Labelled documents a language, words and n-grams of one length kept a language.
-DOCS_PER_LANGUAGE, WORDS, GRAMS = 3_000, 20_000, 10_000
+#: Labelled documents a language that are learned from, about.
+DOCS_PER_LANGUAGE = 1_000
 LONGEST = 5
 #: Words of evidence that count in full towards the confidence.
 EVIDENCE = 20
-#: Letters up to which words give n-grams to learn from, and up to which an unseen word is remembered.
-LONGEST_WORD = 64
+#: Letters of a word that are cut into n-grams at once, and up to which an unseen word is remembered, by a worker, with so many others.
+PART, REMEMBER = 64, 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,92 +38,127 @@ class LanguageModel:
     grams: dict[str, int]
     gram_rows: np.ndarray
     longest: int = LONGEST
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
 
     def unseen(self, word: str) -> np.ndarray:
-        got = self.seen.get(word)
-        if got is None:
-            text, got = f"^{word}$", np.zeros(len(self.languages))
-            for n in range(min(self.longest, len(text)), 0, -1):
-                rows = [r for k in range(len(text) - n + 1) if (r := self.grams.get(text[k : k + n])) is not None]
-                if rows:
-                    got = self.gram_rows[rows].mean(axis=0)
-                    break
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            if len(word) <= LONGEST_WORD:
-                self.seen[word] = got
-        return got
+        text = f"^{word}$"
+        for n in range(min(self.longest, len(text)), 0, -1):
+            rows = [r for k in range(len(text) - n + 1) if (r := self.grams.get(text[k : k + n])) is not None]
+            if rows:
+                return self.gram_rows[rows].mean(axis=0)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall((text or "").lower()))
-        if not self.languages or not any(map(str.isalpha, (c for w in counts for c in w))):
-            return "und", 0.0
-        total, n = np.zeros(len(self.languages)), sum(counts.values())
-        rows, times = [], []
-        for w, c in counts.items():
-            if (r := self.words.get(w)) is not None:
-                rows.append(r)
-                times.append(c)
-            else:
-                total += c * self.unseen(w)
-        if rows:
-            total += np.array(times, float) @ self.word_rows[rows]
-        total *= min(n, EVIDENCE) / n
-        p = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.languages[best], float(p[best] / p.sum())
-
-
-def _rows(counts: list, languages: list[str], share: dict) -> tuple[dict[str, int], np.ndarray]:
+        return Predictor(self).predict([text])[0]
+
+
+class Predictor:
+    """Scores batches of texts against one table of known and of remembered unseen words."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.known = model, len(model.words)
+        self.index = dict(model.words)
+        self.rows = np.concatenate([model.word_rows, np.zeros((1_024, len(model.languages)))])
+
+    def _row(self, word: str) -> int:
+        if len(self.index) == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        at = len(self.index)
+        self.rows[at] = self.model.unseen(word)
+        self.index[word] = at
+        return at
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        if len(self.index) > self.known + REMEMBER:
+            self.index = dict(self.model.words)
+        out = []
+        for text in texts:
+            words = _WORD.findall((text or "").lower())
+            if not languages or not words or not any(map(str.isalpha, (c for w in words for c in w))):
+                out.append(("und", 0.0))
+                continue
+            at, total = list(map(self.index.get, words)), np.zeros(len(languages))
+            if None in at:
+                for k, row in enumerate(at):
+                    if row is None:
+                        w = words[k]
+                        if (row := self.index.get(w)) is None:
+                            row = self._row(w) if len(w) <= PART else -1
+                        if row < 0:
+                            total += self.model.unseen(w)
+                        at[k] = row
+                at = [r for r in at if r >= 0]
+            total += self.rows[at].sum(axis=0)
+            total *= min(len(words), EVIDENCE) / len(words)
+            p = np.exp(total - total.max())
+            best = int(total.argmax())
+            out.append((languages[best], float(p[best] / p.sum())))
+        return out
+
+
+def _rows(lang: np.ndarray, at: np.ndarray, n: np.ndarray, terms: int, languages: int) -> np.ndarray:
     """Log frequencies of each term in each language, smoothed by half a count."""
-    index: dict[str, int] = {}
-    for r in counts:
-        index.setdefault(r.term, len(index))
-    rows = np.full((len(index), len(languages)), 0.5)
-    at = {x: k for k, x in enumerate(languages)}
-    for r in counts:
-        rows[index[r.term], at[r.lang]] += r.n
-    size = np.array([[share.get((x, 0), 0) for x in languages]])
-    return index, np.log(rows / (size + 0.5 * max(1, len(index))))
-
-
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> LanguageModel:
-    """From ``docs`` (doc_id, text, lang), about ``docs_per_language`` of each language; null langs are ignored."""
+    rows = np.full((terms, languages), 0.5)
+    np.add.at(rows, (at, lang), n)
+    return np.log(rows / rows.sum(axis=0))
+
+
+def _learn(counts: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Terms and their rows from (lang, term, n) in any order; equal counts give an equal table."""
+    counts = counts.sort_by([("term", "ascending"), ("lang", "ascending")])
+    coded = counts.column("term").combine_chunks().dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    place = {x: k for k, x in enumerate(languages)}
+    lang = np.array([place[x] for x in counts.column("lang").to_pylist()], np.int64)
+    return {t: k for k, t in enumerate(terms)}, _rows(lang, coded.indices.to_numpy().astype(np.int64), counts.column("n").to_numpy(), len(terms), len(languages))
+
+
+def _grams(text: Column, longest: int):
+    """Parts of a text, and how to cut one: together all n-grams of 1 to ``longest`` letters, as often as they stand in the text.
+
+    Part k has the n-grams that start at its first PART letters, and the letters that those run on into.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(PART)), lambda at: F.substring(text, at + 1, F.lit(PART + longest - 1)))
+    sizes = F.sequence(F.lit(1), F.lit(longest))
+
+    def cut(part: Column) -> Column:
+        starts = lambda n: F.filter(F.sequence(F.lit(1), F.lit(PART)), lambda k: k + n - 1 <= F.length(part))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(starts(n), lambda k: F.substring(part, k, n))))
+
+    return parts, cut
+
+
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST) -> LanguageModel:
+    """From ``docs`` (doc_id, text, lang), about ``docs_per_language`` of each language; rows with a null text or lang are ignored.
+
+    Repeated rows count each. The vocabulary is that of the sample, so what the driver and
+    the workers hold is bounded by ``docs_per_language`` texts a language. Without labelled
+    texts the model knows no language.
+    """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     chosen = F.lit(False)
     for x in languages:
         chosen = chosen | ((F.col("lang") == x) & sample_fraction(F.col("doc_id"), docs_per_language / sizes[x]))
-    terms = (
+    terms = settle(
         rows.where(chosen).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("term"))
         .groupBy("lang", "term").agg(F.count("*").alias("n"))
-        .cache()
     )
-
-    def top(df: DataFrame, n: int) -> list:
-        w = W.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
-        return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("lang", "term", "n").collect()
-
-    def totals(df: DataFrame) -> dict:
-        return {(r.lang, r["size"]): r.n for r in df.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-
-    sized = terms.withColumn("size", F.lit(0))
-    word_index, word_rows = _rows(top(sized.where("n > 1"), words), languages, totals(sized))
     text = F.concat(F.lit("^"), "term", F.lit("$"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, n))))
-    pieces = terms.where(F.length("term") <= LONGEST_WORD).select("lang", "n", F.explode(cut).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", F.length("term")).cache()
-    share, found = totals(pieces), top(pieces, grams)
-    gram_index: dict[str, int] = {}
-    parts = []
+    parts, cut = _grams(text, longest)
+    pieces = terms.select("lang", "n", F.explode(parts).alias("part")).select("lang", "n", F.explode(cut(F.col("part"))).alias("term"))
+    pieces = pieces.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    words, word_rows = _learn(terms.toArrow(), languages)
+    found = pieces.toArrow()
+    size = pa.compute.utf8_length(found.column("term"))
+    grams: dict[str, int] = {}
+    tables = []
     for n in range(1, longest + 1):
-        index, part = _rows([r for r in found if len(r.term) == n], languages, {(x, 0): share.get((x, n), 0) for x in languages})
-        gram_index |= {t: k + sum(map(len, parts)) for t, k in index.items()}
-        parts.append(part)
-    terms.unpersist()
-    pieces.unpersist()
-    return LanguageModel(languages, word_index, word_rows, gram_index, np.concatenate(parts) if parts else np.zeros((0, len(languages))), longest)
+        index, part = _learn(found.filter(pa.compute.equal(size, n)), languages)
+        grams |= {t: k + sum(map(len, tables)) for t, k in index.items()}
+        tables.append(part)
+    return LanguageModel(languages, words, word_rows, grams, np.concatenate(tables), longest)
 
 
 def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
@@ -130,10 +166,12 @@ def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Colum
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
-    def predict(texts: pa.Array) -> pa.Array:
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_cache("langid")
-        got = [held.value.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        told = Predictor(held.value)
+        for texts in parts:
+            got = told.predict([t.as_py() for t in texts])
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
     return predict(text.cast("string"))
 
@@ -141,8 +179,8 @@ def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Colum
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score double) per row, from the whole text alone.
 
-    Null texts and those without a letter are ``und`` with score 0; so is all when nothing
-    was learned. Ties go to the first language by name. Other columns are not read.
+    Repeated and null ids yield a row each, an empty table none. Null texts and those
+    without a letter are ``und`` with score 0; so is all when nothing was learned. Ties go to the first language by name. Other columns are not read.
     """
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), prediction(docs.sparkSession, model, F.col(text_col)).alias("got"))
     return got.select("doc_id", "got.lang_pred", "got.score")

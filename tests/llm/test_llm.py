@@ -226,9 +226,38 @@ def test_language_id(spark):
     assert all(0 <= s <= 1 for _, s in got.values()) and got[8][0] in PROSE
     assert langid.train(spark.createDataFrame([], "doc_id long, text string, lang string")).predict("some words") == ("und", 0.0)
     assert model.predict("\u00b2\u00bd \u2167") == ("und", 0.0)  # numbers, not letters
+    odd = langid.identify(frame(spark, [*EDGES, (6, "same words here")]).withColumn("got", F.lit(1)), model).collect()
+    assert len(odd) == len(EDGES) + 1 and {r.lang_pred for r in odd if r.doc_id in (1, 2, 3)} == {"und"}
+    assert langid.identify(spark.createDataFrame([], SCHEMA), model).count() == 0
     assert model.predict("x" * 5_000 + "dinge")[0] in PROSE and model.predict("zq" * 2_000 + "garten" * 2_000) != model.predict("zq" * 2_000)
 
 
+def test_language_counts_match_brute_force(spark):
+    from collections import Counter
+
+    r = random.Random(15)
+    long = ["".join(r.choice("abcde") for _ in range(n)) for n in (62, 63, 64, 65, 66, 130, 200)]
+    rows = [(1, " ".join(["ab", "ab", "cde", *long]), "x"), (2, "ab zz", "y"), (3, None, "y"), (4, "ab", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = {x: Counter(w for _, t, y in rows if t and y == x for w in t.split()) for x in "xy"}
+    assert set(model.words) == set(words["x"]) | set(words["y"])
+    for n in range(1, 6):
+        grams = {x: Counter(f"^{w}$"[k : k + n] for w, c in words[x].items() for _ in range(c) for k in range(len(w) + 3 - n)) for x in "xy"}
+        every = set(grams["x"]) | set(grams["y"])
+        assert {g for g in model.grams if len(g) == n} == every
+        for g in every:
+            want = [np.log((grams[x][g] + 0.5) / (sum(grams[x].values()) + 0.5 * len(every))) for x in "xy"]
+            assert np.allclose(model.gram_rows[model.grams[g]], want)
+
+
+def test_language_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang")
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.1").where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
+    n, right = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    print(n, right)
+    assert n > 3_000 and right >= 0.97 * n
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = [w + x for w in ("wo", "ra", "te", "lu") for x in ("na", "mi", "do", "sa", "ke")]
