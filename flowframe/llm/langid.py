@@ -27,6 +27,8 @@ LONGEST = 5
 EVIDENCE = 20
 #: Letters of a word that are cut into n-grams at once, and up to which an unseen word is remembered, by a worker, with so many others.
 PART, REMEMBER = 64, 200_000
+#: Characters of text that are scored at once.
+CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,13 +41,24 @@ class LanguageModel:
     gram_rows: np.ndarray
     longest: int = LONGEST
 
-    def unseen(self, word: str) -> np.ndarray:
-        text = f"^{word}$"
-        for n in range(min(self.longest, len(text)), 0, -1):
-            rows = [r for k in range(len(text) - n + 1) if (r := self.grams.get(text[k : k + n])) is not None]
-            if rows:
-                return self.gram_rows[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean of its longest known n-grams, zeros if none is known."""
+        get, known, sizes = self.grams.get, [], []
+        for word in words:
+            text, held = f"^{word}$", 0
+            for n in range(min(self.longest, len(text)), 0, -1):
+                rows = [r for k in range(len(text) - n + 1) if (r := get(text[k : k + n])) is not None]
+                if rows:
+                    known += rows
+                    held = len(rows)
+                    break
+            sizes.append(held)
+        out = np.zeros((len(words), len(self.languages)))
+        sizes = np.array(sizes, np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(self.gram_rows[known], (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return Predictor(self).predict([text])[0]
@@ -59,41 +72,50 @@ class Predictor:
         self.index = dict(model.words)
         self.rows = np.concatenate([model.word_rows, np.zeros((1_024, len(model.languages)))])
 
-    def _row(self, word: str) -> int:
-        if len(self.index) == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at = len(self.index)
-        self.rows[at] = self.model.unseen(word)
-        self.index[word] = at
-        return at
+    def _learn(self, words: list[str]) -> None:
+        at, to = len(self.index), len(self.index) + len(words)
+        if to > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(to, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
+        self.rows[at:to] = self.model.unseen(words)
+        self.index.update(zip(words, range(at, to), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        lot, size = [], 0
+        for text in texts:
+            lot.append(_WORD.findall((text or "").lower()))
+            size += len(text or "")
+            if size > CHARS:
+                out += self._told(lot)
+                lot, size = [], 0
+        return out + self._told(lot)
+
+    def _told(self, texts: list[list[str]]) -> list[tuple[str, float]]:
         languages = self.model.languages
-        if len(self.index) > self.known + REMEMBER:
+        sizes = np.array([len(words) for words in texts], np.int64)
+        if not languages or not sizes.any():
+            return [("und", 0.0)] * len(texts)
+        every = [w for words in texts for w in words]
+        new = {w for w in set(every).difference(self.index) if len(w) <= PART}
+        if len(self.index) + len(new) > self.known + REMEMBER:
             self.index = dict(self.model.words)
-        out = []
-        for text in texts:
-            words = _WORD.findall((text or "").lower())
-            if not languages or not words or not any(map(str.isalpha, (c for w in words for c in w))):
-                out.append(("und", 0.0))
-                continue
-            at, total = list(map(self.index.get, words)), np.zeros(len(languages))
-            if None in at:
-                for k, row in enumerate(at):
-                    if row is None:
-                        w = words[k]
-                        if (row := self.index.get(w)) is None:
-                            row = self._row(w) if len(w) <= PART else -1
-                        if row < 0:
-                            total += self.model.unseen(w)
-                        at[k] = row
-                at = [r for r in at if r >= 0]
-            total += self.rows[at].sum(axis=0)
-            total *= min(len(words), EVIDENCE) / len(words)
-            p = np.exp(total - total.max())
-            best = int(total.argmax())
-            out.append((languages[best], float(p[best] / p.sum())))
-        return out
+            new = {w for w in set(every).difference(self.index) if len(w) <= PART}
+        self._learn(sorted(new))
+        at = np.array([self.index.get(w, -1) for w in every], np.int64)
+        rows = self.rows[at]
+        for k in np.flatnonzero(at < 0).tolist():  # too long to be remembered
+            rows[k] = self.model.unseen([every[k]])[0]
+        some = np.flatnonzero(sizes)
+        total = np.zeros((len(texts), len(languages)))
+        total[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some])
+        total *= (np.minimum(sizes, EVIDENCE) / np.maximum(sizes, 1))[:, None]
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        best = total.argmax(axis=1)
+        score = p[np.arange(len(p)), best] / p.sum(axis=1)
+        return [
+            (languages[b], float(s)) if words and any(map(str.isalpha, (c for w in words for c in w))) else ("und", 0.0)
+            for words, b, s in zip(texts, best.tolist(), score.tolist(), strict=True)
+        ]
 
 
 def _rows(lang: np.ndarray, at: np.ndarray, n: np.ndarray, terms: int, languages: int) -> np.ndarray:
