@@ -53,6 +53,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op 7 the rules alone decide, which SQL can say as well."""
+    return url_filter.apply_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -78,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_html_extract, op3_embedding_dedup, op4_language_id, op5_decontaminate, op6_toxicity, op7_url_filter, op8_packing, op9_simhash, op10_sharding)
+    for f in (op1_substring_dedup, op2_html_extract, op3_embedding_dedup, op4_language_id, op5_decontaminate, op6_toxicity, op7_url_filter, url_rules, op8_packing, op9_simhash, op10_sharding)
 }
 
 _OP1 = r"""
@@ -141,7 +146,21 @@ SELECT doc_id, item_id, CAST(-max_by(-start, (matched, -start)) AS INTEGER) AS s
 FROM found GROUP BY doc_id, item_id, n
 """
 
+_RULES = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rule, name, start, verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), best AS (
+  SELECT page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+  FROM h JOIN r ON (h.host = r.name OR ends_with(h.host, '.' || r.name)) AND starts_with(h.path, r.start) GROUP BY page_id
+)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN best ON h.page_id = best.page_id
+"""
+
 _OP10 = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS committed FROM documents"
 
 #: The others learn a model, or use a hash or tokenizer that SQL lacks: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_embedding_dedup": _OP3, "op5_decontaminate": _OP5, "op10_sharding": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_embedding_dedup": _OP3, "op5_decontaminate": _OP5, "url_rules": _RULES, "op10_sharding": _OP10}

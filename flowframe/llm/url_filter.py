@@ -1,8 +1,9 @@
 """URL filter: host and path rules first, boosted trees on lexical features for the rest.
 
-DataFrame functions and MLlib only. The trees are trained on URLs labelled as
-the rules decide, otherwise as blocked if their host has a word of a block list, and as allowed if it has none,
-as nothing else tells of clean hosts that no rule knows. Features are lengths,
+DataFrame functions and MLlib only. The trees are trained on labelled URLs: those that a
+rule decides, and those that a labelled source knows. Without such a source a block list
+stands in for it: a host with a listed word is labelled block, any other allow, as nothing
+else tells of clean hosts that no rule knows; families on no list are then let through. Features are lengths,
 depth, counts, shares of digits, character entropy and statistics of the host's suffix.
 """
 
@@ -21,9 +22,9 @@ from .common import broadcast_if_small, sample_fraction, settle
 #: Labelled URLs of each verdict that the trees are fitted on.
 TRAIN_PER_VERDICT = 4_000
 TREES, DEPTH, SEED = 12, 4, 7
-#: Words in a host that label it as blocked when no rule decides.
+#: Words in a host that label it as blocked when no rule decides, chosen by us.
 BLOCK_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "warez", "payday")
-#: The same, but only as whole words between dots and hyphens, as they are part of harmless words.
+#: The same, but only as whole words between dots and hyphens, as they are part of harmless words.
 BLOCK_NAMES = ("ads", "adult", "bet", "bets", "betting", "gambling", "poker", "sex", "tracker", "tracking")
 
 
@@ -37,6 +38,7 @@ class Rule:
         return ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
 
 
+#: The rules of the contract.
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
 
 
@@ -75,27 +77,48 @@ def features(url: Column, host: Column, path: Column, rate: Column, share: Colum
     return {f"x_{k}": v.cast("double") for k, v in got.items()}
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_words: tuple[str, ...] = BLOCK_WORDS, id_col: str = "page_id", url_col: str = "url", per_verdict: int = TRAIN_PER_VERDICT, trees: int = TREES, depth: int = DEPTH, block_names: tuple[str, ...] = BLOCK_NAMES) -> DataFrame:
-    """(id, host, path, rule, verdict, score double) per row: the longest fitting rule's verdict, or that of the trees.
+def block_list(host: Column, words: tuple[str, ...] = BLOCK_WORDS, names: tuple[str, ...] = BLOCK_NAMES) -> Column:
+    """``block`` for hosts with a listed word in them, or a listed name between dots and hyphens, else ``allow``."""
+    listed = F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(w) for w in names]).cast("array<string>"))
+    for w in words:
+        listed = listed | host.contains(w)
+    return F.when(listed, "block").otherwise("allow")
 
-    ``score`` is the trees' probability of a block, null where a rule decides. Null URLs
-    and those without ``://`` have an empty host and path. Where the labelled URLs are all
-    of one verdict there is nothing to learn and the rest get that verdict, or ``allow``
-    when there are none. Other columns are not read.
-    """
+
+def apply_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", more: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, url, host, path, rule, verdict, *more) per row; rule and verdict of the longest fitting rule, null where none fits."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), *[c.alias(k) for k, c in (more or {}).items()])
+    rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r.text)):  # the longest is asked first
         fits = r.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, r.text).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    listed = F.lit(False)
-    for w in block_words:
-        listed = listed | F.col("host").contains(w)
-    listed = listed | F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in block_names]).cast("array<string>"))
-    label = F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict") == "allow", 0.0).when(listed, 1.0).otherwise(0.0)
-    labelled = rows.select("page_id", "url", "host", "path", "rule", label.alias("label"))
+    return rows.withColumns({"rule": rule, "verdict": verdict})
+
+
+def judge(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", per_verdict: int = TRAIN_PER_VERDICT, trees: int = TREES, depth: int = DEPTH,
+    known: Column | None = None, learn: Column | None = None,
+) -> DataFrame:
+    """(id, host, path, rule, verdict, score double) per row: the longest fitting rule's verdict, or that of the trees.
+
+    ``known`` is a column of ``pages`` with the label that a source has for a URL, ``block``
+    or ``allow``; URLs with a null there are not trained on. By default it is the block
+    list's. ``learn`` says which rows may be trained on, all by default. ``score`` is the
+    trees' probability of a block, null where a rule decides. Null URLs and those without
+    ``://`` have an empty host and path. Where the labelled URLs are all of one verdict
+    there is nothing to learn and the rest get that verdict, or ``allow`` when there are
+    none. Repeated and null ids yield a row each, URLs of any length are read whole, an
+    empty table gives no rows. Other columns are not read.
+    """
+    given = F.lit(None).cast("string") if known is None else known.cast("string")
+    rows = apply_rules(pages, rules, id_col, url_col, {"given": given, "learn": F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))})
+    if known is None:
+        rows = rows.withColumn("given", block_list(F.col("host")))
+    told = F.coalesce("verdict", "given")
+    label = F.when(told == "block", 1.0).when(told == "allow", 0.0)
+    labelled = rows.where("learn").select("page_id", "url", "host", "path", "rule", label.alias("label")).where("label is not null")
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         rest = "block" if 1.0 in sizes else "allow"

@@ -487,6 +487,25 @@ def test_url_block_list_covers_the_families(spark):
     assert {r.host.split(".")[0]: r.v for r in got} == {**{f: ["block"] for f in families}, "alphabets": ["allow"], "downloads": ["allow"]}
 
 
+def test_url_trees_use_a_labelled_source(spark):
+    r = random.Random(17)
+    rows = [(k, f"http://{r.choice(['good', 'fine'])}{r.randint(1, 9)}.net/a/{k}" if k % 2 else f"http://x{r.randint(100, 999)}-{r.randint(100, 999)}.net/q?z={k}&y=1", ["block", "allow"][k % 2] if k < 300 else None) for k in range(400)]
+    rows += [(500, "http://good1.net/" + "a" * 100_000, None), (None, None, None), (7, "http://good2.net/", "allow")]
+    df = spark.createDataFrame(rows, "page_id long, url string, label string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, known=F.col("label")).collect()}
+    assert all(got[k] == ["block", "allow"][k % 2] for k in range(300, 400)) and len(got) == 402
+    assert {r.verdict for r in url_filter.judge(df, known=F.lit(None)).collect()} == {"allow"}
+
+
+def test_url_trees_on_held_out_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    held = F.crc32(F.col("page_id").cast("string")) % 3 == 1
+    got = url_filter.judge(pages, learn=~held).where(held & F.col("rule").isNull()).withColumn("label", url_filter.block_list(F.col("host")))
+    hits = {(r.label, r.verdict): r["count"] for r in got.groupBy("label", "verdict").count().collect()}
+    print(hits)
+    assert hits["block", "block"] >= 0.9 * (hits["block", "block"] + hits.get(("block", "allow"), 0)) and hits.get(("allow", "block"), 0) <= 0.02 * hits["allow", "allow"]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_bins(seed):
     r = random.Random(seed)
