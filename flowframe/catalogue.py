@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.functions import bits, types
 from flowframe.operators import combine, joins, metrics, ordered, replicate, routing, rsm, sync
+from flowframe.plans.catalog import FlowCatalog
 from flowframe.plans.spec import FlowSpec
 from flowframe.sources import delimited, relations
 
@@ -109,13 +111,47 @@ def multi_source_union(spark, sf_dir):
     return routing.shuffle(both, _spec("both", "o_orderkey", 2)).groupBy("source_id", "target_id").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
 
 
-@query()
+@query("SELECT o_orderkey % 4 + 1 AS target_id, CAST(o_orderkey % 4 AS INTEGER) AS partition_id, count(*) AS n_rows FROM orders GROUP BY 1, 2")
 def shuffle_physical_placement(spark, sf_dir):
     """Rows by target and the partition they lie in: one partition a target."""
     placed = routing.shuffle(_t(spark, sf_dir, "orders").select("o_orderkey"), _spec("orders", "o_orderkey", 4), physical=True)
     return placed.withColumn("partition_id", F.spark_partition_id()).groupBy("target_id", "partition_id").agg(F.count("*").alias("n_rows"))
 
 
+@query("SELECT o_orderkey % 3 + 1 AS target_id, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, count(*) AS n_rows FROM orders GROUP BY 1")
+def target_consumer(spark, sf_dir):
+    """Code of one's own on the rows of each target, batch by batch."""
+
+    def add(target, batches):
+        total = rows = 0
+        for b in batches:
+            total += sum(b.column("o_orderkey").to_pylist())
+            rows += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([total]), pa.array([rows])], ["target_id", "key_sum", "n_rows"])
+
+    routed = routing.shuffle(_t(spark, sf_dir, "orders").select("o_orderkey"), _spec("orders", "o_orderkey", 3))
+    return routing.consume(routed, add, "target_id long, key_sum long, n_rows long")
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n_rows, CAST(sum(n_nationkey) AS BIGINT) AS key_sum FROM nation GROUP BY 1")
+def catalog_flow(spark, sf_dir):
+    """A defined flow with two sources, read by name as SQL, and dropped again."""
+    nation, flows = _t(spark, sf_dir, "nation"), FlowCatalog(spark, nodes=(1, 2))
+    flows.register(FlowSpec("flow_nations", "shuffle", (("n_nationkey", "INT"), ("n_regionkey", "INT")), (1, 2), sources=2, nodes=(1, 2)))
+    flows.bind("flow_nations", nation.where("n_nationkey % 2 = 0"), nation.where("n_nationkey % 2 = 1"))
+    out = spark.sql("SELECT n_regionkey AS region, count(*) AS n_rows, sum(n_nationkey) AS key_sum FROM flow_nations GROUP BY 1")
+    flows.drop("flow_nations")
+    return out
+
+
+@query("SELECT event_id, seq, CAST(t AS BIGINT) AS target_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events), (SELECT unnest([7, 9]) AS t)")
+def replicate_ordered_flow(spark, sf_dir):
+    """A replicate flow of one order for all targets, from its definition."""
+    spec = FlowCatalog(spark).register(FlowSpec("log", "replicate", (("event_id", "BIGINT"),), (7, 9), ordered=True))
+    rows = spec.conform(_t(spark, sf_dir, "events"))
+    return replicate.replicate(replicate.total_order(rows, spec.key_column), spec.targets)
+
+
 # -- replication and order ------------------------------------------------------------
 
 
@@ -188,7 +224,7 @@ def combine_mult(spark, sf_dir):
 @query("SELECT greatest(0, max(c_acctbal)) AS top, least(0, min(c_acctbal)) AS low, 0.0::DOUBLE AS factor FROM customer")
 def combine_zero_seed(spark, sf_dir):
     c = F.col("c_acctbal")
-    return _t(spark, sf_dir, "customer").agg(combine.aggregate("max", c, True).alias("top"), combine.aggregate("min", c, True).alias("low")).withColumn("factor", F.lit(0.0))
+    return _t(spark, sf_dir, "customer").agg(*[combine.aggregate(name, c, True).alias(to) for name, to in (("max", "top"), ("min", "low"), ("mult", "factor"))])
 
 
 @query("SELECT l_orderkey % 4 + 1 AS target_id, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice, count(*) AS tuples_consumed FROM lineitem GROUP BY 1")
@@ -197,6 +233,20 @@ def combine_per_target(spark, sf_dir):
     return _rounded(combine.combine(routed, "sum", ["l_quantity", "l_extendedprice"], ["target_id"]), ["l_quantity", "l_extendedprice"])
 
 
+@query("SELECT n_regionkey % 2 + 1 AS target_id, max(n_nationkey) AS n_nationkey, count(*) AS tuples_consumed FROM nation GROUP BY 1")
+def combine_explicit_target(spark, sf_dir):
+    spec = FlowSpec("nations", "combine", (("n_nationkey", "INT"),), (1, 2), aggregate="max")
+    routed = routing.shuffle(_t(spark, sf_dir, "nation"), spec, routing.explicit(F.col("n_regionkey") % 2 + 1))
+    return combine.combine(routed, spec.aggregate, ["n_nationkey"], ["target_id"]).withColumn("target_id", F.col("target_id").cast("int"))
+
+
+@query("SELECT CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS BIGINT) AS target_id, min(c_acctbal) AS c_acctbal, count(*) AS tuples_consumed FROM customer GROUP BY 1")
+def combine_function_target(spark, sf_dir):
+    spec = FlowSpec("balances", "combine", (("c_acctbal", "DOUBLE"),), (1, 2), aggregate="min")
+    routed = routing.shuffle(_t(spark, sf_dir, "customer"), spec, routing.by_function(lambda df: F.when(df.c_acctbal < 0, 2).otherwise(1)))
+    return combine.combine(routed, spec.aggregate, ["c_acctbal"], ["target_id"])
+
+
 @query("SELECT window_id, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS tuples_consumed FROM (SELECT o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS window_id FROM orders) GROUP BY 1")
 def combine_count_window(spark, sf_dir):
     windows = combine.count_windows(_t(spark, sf_dir, "orders"), "o_orderkey", 100)
@@ -239,6 +289,12 @@ for _b in (8, 16, 32):
     _wrapped(_b)
 
 
+@query("SELECT o_custkey % 7 AS k, CAST(((sum(CAST(o_orderkey AS HUGEINT) * 1125899906842624) + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS wrapped FROM orders GROUP BY 1")
+def combine_wrap_int64(spark, sf_dir):
+    wide = F.col("o_orderkey").cast("decimal(20,0)") * F.lit(1 << 50).cast("decimal(16,0)")
+    return _t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("k")).agg(types.wrap_long(F.sum(wide.cast("decimal(28,0)"))).alias("wrapped"))
+
+
 @query("SELECT pos, round(sum(v), 4) AS value, count(*) AS tuples_consumed FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1")
 def combine_wide_vector(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
@@ -378,6 +434,16 @@ def rsm_gap_merge(spark, sf_dir):
     return rsm.merge_gaps(leader, entries.where("slot % 33 <> 0"))
 
 
+@query(f"""
+WITH c AS ({_COMMANDS}), m AS (SELECT max(slot) AS top FROM c WHERE slot % 37 <> 0), r AS (SELECT unnest(range(1, 6)) AS replica)
+SELECT slot, CASE WHEN slot % 37 = 0 THEN 'NOOP' ELSE op END AS op, CASE WHEN slot % 37 = 0 THEN NULL ELSE key END AS key, CASE WHEN slot % 37 = 0 THEN NULL ELSE value END AS value,
+ CASE WHEN slot % 37 = 0 THEN (SELECT count(*) FROM r WHERE (c.slot + replica) % 3 = 0) ELSE 0 END AS acks, slot % 37 <> 0 OR 1 + (SELECT count(*) FROM r WHERE (c.slot + replica) % 3 = 0) >= 3 AS agreed FROM c, m WHERE slot <= top""")
+def rsm_lead_gaps(spark, sf_dir):
+    entries = _log(spark, sf_dir)
+    heard = entries.where("slot % 37 = 0").select("slot", F.explode(F.expr("sequence(1, 5)")).alias("replica")).where("(slot + replica) % 3 = 0")
+    return rsm.lead_gaps(entries.where("slot % 37 <> 0"), heard.unionByName(heard), 5)
+
+
 @query(f"WITH c AS ({_COMMANDS}) SELECT count(*) AS checked, CAST(sum(CASE WHEN slot % 33 <> 0 AND slot % 41 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, CAST(sum(CASE WHEN slot % 33 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM c")
 def rsm_log_verify(spark, sf_dir):
     entries = _log(spark, sf_dir)
@@ -424,6 +490,36 @@ def bandwidth(spark, sf_dir):
     return shuffle_key_counts(spark, sf_dir).select("target_id", F.round(metrics.bandwidth(F.col("n_rows"), 16, F.lit(0.25)), 6).alias("mb_per_second"))
 
 
+@query("SELECT 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'users', CAST(count(DISTINCT user_id) AS DOUBLE) FROM events UNION ALL SELECT 'greatest', max(value) FROM events")
+def run_figures(spark, sf_dir):
+    return metrics.figures(_t(spark, sf_dir, "events"), rows=F.count("*"), users=F.countDistinct("user_id"), greatest=F.max("value"))
+
+
+def _low(x: str, b: int) -> str:
+    return f"(((({x}) + {1 << (b - 1)}) % {1 << b} + {1 << b}) % {1 << b} - {1 << (b - 1)})"
+
+
+_A8, _B8, _A64, _B64 = "(event_id % 256 - 128)", "(event_id * 7 % 251 - 125)", "((event_id % 5000 - 2500)::HUGEINT * 3037000499123457)", "(event_id * 5 % 99991 - 50000)"
+_TYPED = ", ".join([
+    *[f"CAST({_low(f'{_A8} {op} {_B8}', 8)} AS BIGINT) AS {name}8" for op, name in (("+", "add"), ("-", "sub"), ("*", "mul"))],
+    f"CAST(CASE WHEN {_B8} <> 0 THEN trunc({_A8}::DOUBLE / {_B8}) END AS BIGINT) AS div8", f"CAST({_low(f'{_A8} * 1000', 8)} AS BIGINT) AS mul_literal8",
+    f"CAST({_low(f'{_A64} * {_B64}', 64)} AS BIGINT) AS mul64", f"CAST({_low(f'{_A64} * 1000003', 64)} AS BIGINT) AS mul_literal64",
+    f"least({_A8}, {_B8}) AS lesser8", f"greatest({_A8}, {_B8}) AS greater8", "CAST(value / 3 AS DOUBLE) AS third", "CAST(0 AS BIGINT) AS zero64",
+])
+
+
+@query(f"SELECT event_id, {_TYPED} FROM events")
+def typed_arithmetic(spark, sf_dir):
+    a, b = (F.expr(x).cast("tinyint") for x in ("event_id % 256 - 128", "event_id * 7 % 251 - 125"))
+    c, d = F.expr("(event_id % 5000 - 2500) * 3037000499123457").cast("long"), F.expr("event_id * 5 % 99991 - 50000").cast("long")
+    tiny = {f"{name}8": types.arithmetic(op, "TINYINT", a, b) for op, name in (("+", "add"), ("-", "sub"), ("*", "mul"), ("/", "div"))}
+    tiny |= {"mul_literal8": types.arithmetic("*", "TINYINT", a, 1000), "lesser8": types.lesser("TINYINT", a, b), "greater8": types.greater("TINYINT", a, b)}
+    return _t(spark, sf_dir, "events").select(
+        "event_id", *[v.cast("long").alias(k) for k, v in tiny.items()], types.arithmetic("*", "BIGINT", c, d).alias("mul64"), types.arithmetic("*", "BIGINT", c, 1_000_003).alias("mul_literal64"),
+        types.arithmetic("/", "DOUBLE", F.col("value"), 3).alias("third"), types.default_value("BIGINT").alias("zero64"),
+    )
+
+
 @query("SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS beyond FROM customer")
 def delimited_field(spark, sf_dir):
     line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string"))
@@ -445,9 +541,9 @@ def pack_unpack(spark, sf_dir):
     return rows.select("o_orderkey", "word", key.alias("key"), value.alias("value"), "radix_word", rkey.alias("radix_key"), rvalue.alias("radix_value"))
 
 
-@query()
+@query("SELECT CAST(t AS INTEGER) AS task, 2 AS arrived, (SELECT count(*) FROM nation) AS rows FROM (SELECT unnest(range(0, 2)) AS t)")
 def barrier_arrivals(spark, sf_dir):
-    return sync.arrivals(spark, 2)
+    return sync.counts_seen(_t(spark, sf_dir, "nation").select("n_nationkey"), 2)
 
 
 @query("SELECT event_id, CAST(coalesce(max(event_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS BIGINT) AS high FROM events")

@@ -20,7 +20,7 @@ def aggregate(name: str, column: Column, seed_zero: bool = False) -> Column:
     if name == "mean":
         return F.avg(column)
     if name == "mult":
-        return F.product(column) * 0 if seed_zero else F.product(column)
+        return F.coalesce(F.max(F.lit(0.0)), F.lit(0.0)) if seed_zero else F.product(column)
     if name == "max":
         return F.greatest(zero, F.max(column)) if seed_zero else F.max(column)
     if name == "min":
@@ -55,7 +55,7 @@ def sync_order(df: DataFrame, source: str, order: str) -> DataFrame:
     Round-robin over the sources is the order by (round, source): no source is read twice
     before the others once, and a source that has ended drops out.
     """
-    return df.withColumn("round", F.row_number().over(W.partitionBy(source).orderBy(order)) - 1)
+    return ordered.sequence(df, order, name="round", by=source)
 
 
 def sync_windows(df: DataFrame, source: str, order: str, size: int) -> DataFrame:
@@ -66,7 +66,7 @@ def sync_windows(df: DataFrame, source: str, order: str, size: int) -> DataFrame
     """
     rows = sync_order(df, source, order)
     rounds = rows.groupBy("round").agg(F.count("*").alias("_rows"))
-    sizes = ordered.running_sum(rounds, "round", "_rows", "_before").select("round", "_before")
+    sizes = ordered.running_sum(rounds, "round", "_rows", name="_before").select("round", "_before")
     place = F.row_number().over(W.partitionBy("round").orderBy(source)) - 1 + F.col("_before")
     return rows.join(sizes, "round").withColumn("window_id", F.floor(place / size)).drop("_before")
 

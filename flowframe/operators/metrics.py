@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowframe.plans.placement import broadcast_if_small
+
+from . import ordered
+
 #: The percentiles that are reported.
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.999)
 
@@ -13,14 +16,16 @@ PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.999)
 def percentiles(df: DataFrame, value: str, by: str, at: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """(by, percentile, latency): the sample at place floor(n * p) of the sorted ones, from 0.
 
-    Equal samples are counted first, so what is sorted is a row for each distinct value.
+    Equal samples are counted first, so what is sorted is a row for each distinct value,
+    over all tasks.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    up = W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    rows = counts.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(W.partitionBy(by))})
-    rows = rows.withColumn("percentile", F.explode(F.array(*[F.lit(float(p)) for p in at])))
-    place = F.floor(F.col("n") * F.col("percentile"))
-    return rows.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select(by, "percentile", F.col(value).alias("latency"))
+    rows = ordered.running_sum(counts, value, "c", name="_before", by=(by,))
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("_n"))
+    places = F.transform(F.array(*[F.lit(float(p)) for p in at]), lambda p: F.struct(p.alias("percentile"), F.floor(F.col("_n") * p).alias("place")))
+    sizes = sizes.select("_by", F.explode(places).alias("p")).select("_by", "p.*")
+    inside = F.col(by).eqNullSafe(F.col("_by")) & (F.col("place") >= F.col("_before")) & (F.col("place") < F.col("_before") + F.col("c"))
+    return rows.join(broadcast_if_small(sizes), inside).select(by, "percentile", F.col(value).alias("latency"))
 
 
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -39,6 +44,13 @@ def bandwidth(rows: Column, row_bytes: int, seconds: Column) -> Column:
     return rows * row_bytes / seconds / 1e6
 
 
+def figures(df: DataFrame, **values: Column) -> DataFrame:
+    """(name, value double): aggregates of ``df`` as a table of named figures, to be logged beside those of other runs."""
+    row = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in values])
+    return row.select(F.explode(pairs).alias("f")).select("f.*")
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """``df`` with a count of its rows that is filled while something else runs it."""
     seen = Observation(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -28,7 +28,7 @@ def gaps(received: DataFrame, seq: str = "seq") -> DataFrame:
 
 def drop_late(arrivals: DataFrame, arrival: str, seq: str = "seq") -> DataFrame:
     """Rows whose number is above all that arrived before; late and repeated ones go."""
-    rows = ordered.running_max(arrivals, arrival, seq, "_high")
+    rows = ordered.running_max(arrivals, arrival, seq, name="_high")
     return rows.where(F.col("_high").isNull() | (F.col(seq) > F.col("_high"))).drop("_high")
 
 
@@ -41,8 +41,3 @@ def delivery_status(sent: DataFrame, received: DataFrame, seq: str = "seq") -> D
 def loss_limit(segments: int, sources: int) -> int:
     """Rows held out of order before the next number is declared lost."""
     return max(1, min(segments // sources - sources - 1, 256))
-
-
-def consume_until(status: Column) -> Column:
-    """Result code of a consume call for a delivery status."""
-    return F.when(status == OK, F.lit(0)).when(status == LOST, F.lit(9)).otherwise(F.lit(10))

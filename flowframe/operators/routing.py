@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,18 @@ def shuffle(df: DataFrame, spec: FlowSpec, route: Route | None = None, physical:
     return out
 
 
+def consume(routed: DataFrame, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run(target, batches)`` makes of each target's rows, which come in Arrow batches, as (``schema``).
+
+    A target is one consumer, so its rows go through one task; they are streamed, never held whole.
+    """
+
+    def each(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(key[0].as_py(), batches)
+
+    return routed.groupBy("target_id").applyInArrow(each, schema)
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """Rows of several sources with the number of the source as ``source_id``."""
     out = None

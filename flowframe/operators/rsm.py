@@ -26,10 +26,10 @@ def gapless_until(entries: DataFrame, slot: str = "slot") -> DataFrame:
 
 def kv_reads(entries: DataFrame, policy: str = "last") -> DataFrame:
     """(slot, key, result, found) of each READ: the value of the last (or first) WRITE of the key before it."""
-    pick = {"last": F.last, "first": F.first}[policy]
-    before = W.partitionBy("key").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    written = F.when(F.col("op") == WRITE, F.col("value"))
-    rows = entries.withColumn("result", pick(written, ignorenulls=True).over(before))
+    # the greatest (or least) slot of a write so far carries its value; nulls written count as nothing written
+    best = {"last": ordered.running_max, "first": ordered.running_min}[policy]
+    written = F.when((F.col("op") == WRITE) & F.col("value").isNotNull(), F.struct("slot", "value"))
+    rows = best(entries, "slot", written, name="_written", by=("key",)).withColumn("result", F.col("_written.value"))
     return rows.where(F.col("op") == READ).select("slot", "key", "result", F.col("result").isNotNull().alias("found"))
 
 
@@ -41,8 +41,7 @@ def kv_state(entries: DataFrame, policy: str = "last") -> DataFrame:
 
 def phase1(proposals: DataFrame, order: str, by: str, number: str = "proposal") -> DataFrame:
     """``proposals`` with ``highest_seen`` before it and ``granted``: above all seen by the acceptor."""
-    seen = F.max(number).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    rows = proposals.withColumn("highest_seen", F.coalesce(seen, F.lit(0).cast("long")))
+    rows = ordered.running_max(proposals, order, number, name="highest_seen", by=(by,)).fillna(0, ["highest_seen"])
     return rows.withColumn("granted", F.col(number) > F.col("highest_seen"))
 
 
@@ -77,6 +76,23 @@ def leader_quorum(acks: DataFrame, replicas: int, request: str, order: str) -> D
     return rows.withColumn("committed", (F.col("agreeing") >= quorum(replicas)) & F.col("leader_agrees"))
 
 
+def lead_gaps(entries: DataFrame, acks: DataFrame, replicas: int) -> DataFrame:
+    """(slot, op, key, value, acks, agreed): a leader's log in which every slot it lost is a NOOP.
+
+    ``entries`` (slot, op, key, value) are what it received, slots from 1 on; ``acks``
+    (slot, replica) are the followers' answers to its notice of a loss, counted once a
+    replica. A NOOP is agreed when a quorum holds it, the leader included; other entries
+    need no answers. Slots after the last received one are not known to be lost.
+    """
+    got = entries.select(F.col("slot").cast("long").alias("slot"), "op", "key", "value")
+    next_one = ordered.following(got.select("slot").unionByName(entries.sparkSession.range(1).select(F.lit(0).cast("long").alias("slot"))).distinct(), "slot")
+    lost = next_one.where(F.col("next") > F.col("slot") + 1).select(F.explode(F.sequence(F.col("slot") + 1, F.col("next") - 1)).alias("slot"))
+    heard = acks.select(F.col("slot").cast("long").alias("slot"), "replica").distinct().groupBy("slot").agg(F.count("*").alias("acks"))
+    noops = lost.join(heard, "slot", "left").select("slot", F.lit(NOOP).alias("op"), *[F.lit(None).cast(got.schema[c].dataType).alias(c) for c in ("key", "value")], F.coalesce("acks", F.lit(0)).alias("acks"))
+    noops = noops.withColumn("agreed", 1 + F.col("acks") >= quorum(replicas))
+    return got.select("*", F.lit(0).cast("long").alias("acks"), F.lit(True).alias("agreed")).unionByName(noops)
+
+
 def merge_gaps(leader: DataFrame, follower: DataFrame) -> DataFrame:
     """(slot, op, key, value, source) of a follower's log after gap agreement.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def barrier_map(df: DataFrame, schema: str, before: Callable[[Iterator], list], after: Callable[[list], Iterator] = iter) -> DataFrame:
@@ -22,16 +22,15 @@ def barrier_map(df: DataFrame, schema: str, before: Callable[[Iterator], list],
     return df.sparkSession.createDataFrame(df.rdd.barrier().mapPartitions(run), schema)
 
 
-def arrivals(spark: SparkSession, tasks: int) -> DataFrame:
-    """(task, arrived, left) in seconds: no task leaves before the last has arrived."""
+def counts_seen(df: DataFrame, tasks: int) -> DataFrame:
+    """(task, arrived, rows long): how many tasks had arrived and what they had counted together when each one went on.
 
-    def run(_: Iterator) -> Iterator:
-        import time
+    Every task counts its part of ``df``, waits for all, and then knows what all of them counted.
+    """
 
+    def run(rows: Iterator) -> Iterator:
         here = BarrierTaskContext.get()
-        time.sleep(0.05 * here.partitionId())
-        came = time.time()
-        here.barrier()
-        yield here.partitionId(), came, time.time()
+        told = here.allGather(str(sum(1 for _ in rows)))
+        yield here.partitionId(), len(told), sum(map(int, told))
 
-    return spark.createDataFrame(spark.sparkContext.parallelize(range(tasks), tasks).barrier().mapPartitions(run), "task int, arrived double, left double")
+    return df.sparkSession.createDataFrame(df.repartition(tasks).rdd.barrier().mapPartitions(run), "task int, arrived int, rows long")

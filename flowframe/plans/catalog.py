@@ -8,8 +8,10 @@ from .spec import FlowSpec
 
 
 class FlowCatalog:
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    """Where ``nodes`` are given, targets may only lie on those."""
+
+    def __init__(self, spark: SparkSession, nodes: tuple[int, ...] | None = None):
+        self.spark, self.nodes = spark, nodes
         self._flows: dict[str, FlowSpec] = {}
         self._bound: dict[str, DataFrame] = {}
 
@@ -17,6 +19,9 @@ class FlowCatalog:
         """A name can be taken once, whatever the kind of flow."""
         if spec.name in self._flows:
             raise ValueError(f"flow {spec.name} exists")
+        unknown = [] if self.nodes is None else sorted(set(spec.nodes) - set(self.nodes))
+        if unknown:
+            raise ValueError(f"flow {spec.name} has targets on unknown nodes {unknown}")
         self._flows[spec.name] = spec
         return spec
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowframe.plans.placement import settle
+
 #: Fixed value: a packed row is two little-endian unsigned 64-bit numbers.
 ROW_BYTES = 16
 
@@ -75,28 +79,76 @@ def _unpack(blobs: DataFrame) -> DataFrame:
         import numpy as np
 
         for b in batches:
-            for start, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for blob in b.column(0):
                 pair = np.frombuffer(blob.as_py(), "<u8").reshape(-1, 2).astype(np.int64)
-                at = np.arange(len(pair)) + start
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["row", "key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "value"])
 
-    return blobs.mapInArrow(run, "row long, key long, value long")
+    return blobs.mapInArrow(run, "key long, value long")
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a table that ``write_packed`` made."""
-    return _unpack(spark.read.parquet(path).select(F.lit(0).cast("long").alias("start"), "rows")).select("key", "value")
+    return _unpack(spark.read.parquet(path).select("rows"))
+
+
+#: Bytes of a plain file that one task reads.
+READ_BYTES = 64 << 20
+
+
+def _open(path: str):
+    """File system and path within it of a URI that Arrow knows (file, hdfs, s3, gs), or of a plain path."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def write_binary(df: DataFrame, path: str) -> DataFrame:
+    """Rows (key, value) as plain files of packed little-endian 16-byte rows, one for each partition, in a new folder that all executors share.
+
+    Files appear whole, under the partition's number, so a task that runs again replaces
+    its own. Returns (file, rows) of what was written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        task = TaskContext.get()
+        store, folder = _open(path)
+        store.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{task.partitionId():05d}.bin"
+        rows = 0
+        with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
+            for b in batches:
+                out.write(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1).astype("<u8").tobytes())
+                rows += b.num_rows
+        store.move(f"{name}.{task.taskAttemptId()}", name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], ["file", "rows"])
+
+    return settle(df.select(F.col("key").cast("long"), F.col("value").cast("long")).mapInArrow(run, "file string, rows long"))
 
 
 def read_binary(spark: SparkSession, path: str, offset: int = 0, rows: int | None = None) -> DataFrame:
     """(key, value) of plain files of packed rows; ``offset`` and ``rows`` take a slice of each file.
 
-    Only the asked part of a file's bytes goes to Python. A rest of fewer than 16 bytes is left out.
+    Files are read by ranges of READ_BYTES, each by whichever task has it, and only as far
+    as asked. A rest of fewer than 16 bytes is left out.
     """
-    size = F.floor(F.col("length") / ROW_BYTES) - offset
-    size = F.greatest(F.lit(0), size if rows is None else F.least(size, F.lit(rows)))
-    part = F.substring(F.col("content"), F.lit(offset * ROW_BYTES + 1), (size * ROW_BYTES).cast("int"))
-    return _unpack(spark.read.format("binaryFile").load(path).select(F.lit(offset).cast("long").alias("start"), part.alias("rows"))).select("key", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for name, start, size in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                store, at = _open(name)
+                with store.open_input_file(at) as f:
+                    for part in range(start, start + size, 1 << 22):
+                        pair = np.frombuffer(f.read_at(min(1 << 22, start + size - part), part), "<u8").reshape(-1, 2).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", F.floor(F.col("length") / ROW_BYTES).alias("held"))
+    last = F.col("held") if rows is None else F.least(F.col("held"), F.lit(offset + rows))
+    files = files.select("path", (last * ROW_BYTES).alias("stop")).where(F.col("stop") > offset * ROW_BYTES)
+    parts = files.select("path", "stop", F.explode(F.sequence(F.lit(offset * ROW_BYTES).cast("long"), F.col("stop") - 1, F.lit(READ_BYTES).cast("long"))).alias("start"))
+    parts = parts.select("path", "start", F.least(F.col("stop") - F.col("start"), F.lit(READ_BYTES)).alias("size"))
+    return parts.repartition("path", "start").mapInArrow(run, "key long, value long")
 
 
 def read_or_make(spark: SparkSession, path: str, make) -> DataFrame:

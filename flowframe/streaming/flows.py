@@ -27,23 +27,28 @@ def combine(stream: DataFrame, name: str, columns: list[str], ts: str, window: s
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, *columns, "tuples_consumed")
 
 
-def in_order(stream: DataFrame, key: str, seq: str, value: str, limit: int = 256, first: int = 0, timeout_ms: int = 10_000) -> DataFrame:
+def in_order(stream: DataFrame, key: str, seq: str, value: str, limit: int = 256, first: int = 0, timeout_ms: int = 10_000, last: str | None = None, sources: int = 1) -> DataFrame:
     """(key, seq, value, status) of each key's rows in the order of ``seq`` from ``first`` on.
 
     Rows ahead of their turn wait. A number lower than the next is late or repeated and
     dropped. When ``limit`` rows wait, or nothing came for ``timeout_ms`` while some do,
     the next number is given up: a row with status LOST takes its place.
+
+    ``last`` is a boolean column that is true in the row with which each of ``sources``
+    closes; it has a number of its own. When all have closed nothing more can come, so
+    what waits is released, missing numbers are LOST, and a row with status CLOSED takes
+    the place of each closing row.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, seqs, values = state.get if state.exists else (first, [], [])
-        waiting = dict(zip(seqs, values, strict=True))
+        turn, seqs, values, ends = state.get if state.exists else (first, [], [], [])
+        waiting, ends = dict(zip(seqs, values, strict=True)), set(ends)
         out: list[tuple] = []
 
         def release() -> None:
             nonlocal turn
             while turn in waiting:
-                out.append((k[0], turn, waiting.pop(turn), "OK"))
+                out.append((k[0], turn, waiting.pop(turn), "CLOSED" if turn in ends else "OK"))
                 turn += 1
 
         def give_up() -> None:
@@ -56,21 +61,26 @@ def in_order(stream: DataFrame, key: str, seq: str, value: str, limit: int = 256
             while waiting:
                 give_up()
         for pdf in batches:
-            for s, v in zip(pdf[seq].tolist(), pdf[value].tolist(), strict=True):
+            for s, v, none, end in zip(pdf[seq].tolist(), pdf[value].tolist(), pdf["_none"].tolist(), pdf["_last"].tolist(), strict=True):
                 if s < turn or s in waiting:
                     continue
-                waiting[s] = v
+                waiting[s] = None if none else v
+                if end:
+                    ends.add(s)
                 release()
                 while len(waiting) >= limit:
                     give_up()
-        state.update((turn, list(waiting), list(waiting.values())))
+        while waiting and len(ends) >= sources:
+            give_up()
+        state.update((turn, list(waiting), list(waiting.values()), sorted(ends)))
         if waiting:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "value", "status"]).astype({"value": "Int64"})
 
-    rows = stream.select(F.col(key).cast("long").alias(key), F.col(seq).cast("long").alias(seq), F.col(value).cast("long").alias(value))
+    closing = F.lit(False) if last is None else F.coalesce(F.col(last), F.lit(False))
+    rows = stream.select(F.col(key).cast("long").alias(key), F.col(seq).cast("long").alias(seq), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias(value), F.col(value).isNull().alias("_none"), closing.alias("_last"))
     return rows.groupBy(key).applyInPandasWithState(
-        run, "key long, seq long, value long, status string", "turn long, seqs array<long>, held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "key long, seq long, value long, status string", "turn long, seqs array<long>, held array<long>, ends array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

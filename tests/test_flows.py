@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowframe.functions import bits, types
 from flowframe.operators import combine, joins, metrics, ordered, replicate, routing, rsm, sync
 from flowframe.plans.catalog import FlowCatalog
-from flowframe.plans.config import parse
+from flowframe.plans.config import load, parse
 from flowframe.plans.spec import FlowSpec
 from flowframe.sources import delimited, relations
 
@@ -55,7 +55,7 @@ def test_unknown_target_fails_when_checked(spark):
         routing.shuffle(rows, spec(), routing.explicit("value"), check=True).collect()
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=20), st.integers(1, 9))
 def test_unsigned_mod(spark, keys, n):
     rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", types.unsigned_mod(F.col("k"), n).alias("m"), types.unsigned(F.col("k")).alias("u")).collect()
@@ -93,6 +93,14 @@ def test_catalog(spark):
         flows.get("flow_a")
     flows.register(spec(name="flow_a"))
     assert flows.names() == ["flow_a"]
+    with pytest.raises(ValueError, match="unknown nodes"):
+        FlowCatalog(spark, nodes=(1, 2)).register(spec(nodes=(1, 3)))
+
+
+def test_settings_are_loaded(spark, tmp_path):
+    (tmp_path / "flow.conf").write_text("# c\nSegments = 8\n")
+    load(spark, str(tmp_path / "flow.conf"))
+    assert spark.conf.get("flowframe.segments") == "8"
 
 
 def test_settings_file():
@@ -106,12 +114,17 @@ def test_replicate_and_empty(spark):
     assert replicate.replicate(rows.where("false"), (1, 2)).count() == 0
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(st.lists(st.integers(-50, 50), max_size=40))
 def test_ordered_helpers_match_python(spark, values):
     rows = spark.createDataFrame(list(enumerate(values)), "i long, v long")
     seq = {r.i: r.seq for r in ordered.sequence(rows, "v", "i", ranges=4).collect()}
     assert seq == {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    parts = rows.withColumn("g", F.when(F.col("v") % 3 != 0, F.col("v") % 3))
+    own = {r.i: (r.g, r.n, r.top, r.low) for r in ordered.running_min(ordered.running_max(ordered.sequence(parts, "i", name="n", by="g", ranges=4), "i", "v", name="top", by=("g",), ranges=4), "i", "v", by=("g",), ranges=4).collect()}
+    for i, (g, n, top, low) in own.items():
+        past = [v for k, v in enumerate(values[:i]) if own[k][0] == g]
+        assert (n, top, low) == (len(past), max(past, default=None), min(past, default=None))
     high = {r.i: r.high for r in ordered.running_max(rows, "i", "v", ranges=4).collect()}
     assert high == {i: max(values[:i], default=None) for i in range(len(values))}
     before = {r.i: r.before for r in ordered.running_sum(rows, "i", "v", ranges=4).collect()}
@@ -183,6 +196,11 @@ def test_packed_files(spark, tmp_path):
     rows = relations.primary_keys(spark, 5, 25)
     relations.write_packed(rows, str(tmp_path / "p"))
     assert relations.read_packed(spark, str(tmp_path / "p")).orderBy("key").collect() == rows.collect()
+    told = relations.write_binary(relations.random_order(rows, 3).coalesce(2), str(tmp_path / "raw"))
+    assert told.agg(F.sum("rows")).first()[0] == 20
+    back = relations.read_binary(spark, str(tmp_path / "raw"))
+    assert back.orderBy("key").collect() == rows.collect()
+    assert relations.read_binary(spark, str(tmp_path / "raw"), 1, 2).count() == 2 * told.where("rows > 2").count()
     (tmp_path / "r.bin").write_bytes(b"".join(k.to_bytes(8, "little") + (k * 2).to_bytes(8, "little") for k in range(10)))
     assert [tuple(r) for r in relations.read_binary(spark, str(tmp_path / "r.bin"), 2, 3).orderBy("key").collect()] == [(2, 4), (3, 6), (4, 8)]
     made = [relations.read_or_make(spark, str(tmp_path / "c"), lambda: spark.range(3)).count() for _ in range(2)]
@@ -223,7 +241,55 @@ def test_percentile_place(spark):
     assert seen.get["rows"] == 10
 
 
+def test_lead_gaps(spark):
+    got = spark.createDataFrame([(2, "READ", 7, None), (3, "WRITE", 7, 1), (6, "READ", 8, None)], "slot long, op string, key long, value long")
+    acks = spark.createDataFrame([(1, 2), (1, 2), (4, 2), (4, 3), (5, 4), (5, 5), (5, 2)], "slot long, replica int")
+    out = {r.slot: (r.op, r.acks, r.agreed) for r in rsm.lead_gaps(got, acks, 5).collect()}
+    assert out == {1: ("NOOP", 1, False), 2: ("READ", 0, True), 3: ("WRITE", 0, True), 4: ("NOOP", 2, True), 5: ("NOOP", 3, True), 6: ("READ", 0, True)}
+    assert rsm.lead_gaps(got.where("false"), acks, 5).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["TINYINT", "SMALLINT", "INT", "BIGINT", "BIGUINT"])
+def test_whole_number_arithmetic(spark, kind):
+    import itertools
+
+    bits_ = 8 * types.TYPES[kind][0]
+    signed = kind != "BIGUINT"
+    low, high = (-(2 ** (bits_ - 1)), 2 ** (bits_ - 1) - 1) if signed else (0, 2**64 - 1)
+    some = sorted({low, low + 1, high, high - 1, 0, 1, 7, high // 3} | ({-1, -7} if signed else set()))
+    pairs = [(Decimal(a), Decimal(b)) for a, b in itertools.product(some, some)]
+    t = types.TYPES[kind][1]
+    rows = spark.createDataFrame(pairs, "a decimal(20,0), b decimal(20,0)").select(F.col("a").cast(t).alias("a"), F.col("b").cast(t).alias("b"))
+    ops = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: None if b == 0 else abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)}
+
+    def fit(x):
+        return x if x is None else (x - low) % 2**bits_ + low
+
+    for op, plain in ops.items():
+        for r in rows.select("a", "b", types.arithmetic(op, kind, F.col("a"), F.col("b")).alias("x"), types.arithmetic(op, kind, F.col("a"), 1000).alias("y")).collect():
+            a, b = int(r.a), int(r.b)
+            assert (r.x if r.x is None else int(r.x)) == fit(plain(a, b)), (op, a, b)
+            assert int(r.y) == fit(plain(a, 1000)), (op, a)
+    assert rows.select(types.lesser(kind, F.col("a"), F.col("b")).alias("x")).agg(F.min("x")).first()[0] == low
+
+
+def test_floating_arithmetic_and_defaults(spark):
+    rows = spark.createDataFrame([(1.5, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, 3.0)], "a double, b double").coalesce(1)
+    got = [r.x for r in rows.select(types.arithmetic("/", "DOUBLE", F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got[0] == float("inf") and got[1] == float("-inf") and got[2] != got[2] and got[3] == 1 / 3
+    narrow = rows.select(types.arithmetic("*", "FLOAT", F.col("a").cast("float"), 3).alias("x"), *[types.default_value(k).alias(k) for k in types.TYPES])
+    assert narrow.first().x == 4.5 and all(narrow.schema[k].dataType == t for k, (_, t) in types.TYPES.items()) and set(narrow.first()[1:]) == {0}
+
+
+def test_consumer_of_each_target(spark):
+    import pyarrow as pa
+
+    routed = routing.shuffle(spark.range(100).select(F.col("id").alias("key"), F.col("id").alias("value")), spec())
+    out = routing.consume(routed, lambda target, batches: (pa.RecordBatch.from_arrays([pa.array([target] * b.num_rows), b.column("key")], ["t", "k"]) for b in batches), "t long, k long").collect()
+    assert len(out) == 100 and all(r.t == r.k % 2 + 1 for r in out)
+
+
 def test_barrier(spark):
-    rows = sync.arrivals(spark, 3).collect()
-    assert max(r.arrived for r in rows) <= min(r.left for r in rows)
+    rows = sync.counts_seen(spark.range(10), 3).collect()
+    assert sorted(map(tuple, rows)) == [(k, 3, 10) for k in range(3)]
     assert sync.barrier_map(spark.range(4).repartition(2), "n long", lambda it: [(len(list(it)),)]).agg(F.sum("n")).first()[0] == 4

@@ -34,6 +34,28 @@ def test_rows_come_in_order_with_losses(spark, batches):
     assert sorted(r.seq for r in got if r.status == "LOST") == [3, 4]
 
 
+def test_closing_releases_what_waits(spark, batches):
+    stream = batches([[(1, 0, 10, False), (1, 2, 12, False), (1, 5, None, True)], [(1, 3, 13, False), (1, 7, None, True), (2, 1, 1, False)]], "key long, seq long, v long, end boolean")
+    got = run(spark, flows.in_order(stream, "key", "seq", "v", last="end", sources=2), "closed_rows").collect()
+    own = sorted((r.seq, r.value, r.status) for r in got if r.key == 1)
+    assert own == [(0, 10, "OK"), (1, None, "LOST"), (2, 12, "OK"), (3, 13, "OK"), (4, None, "LOST"), (5, None, "CLOSED"), (6, None, "LOST"), (7, None, "CLOSED")]
+    assert not [r for r in got if r.key == 2]  # still open, and its first number may come
+
+
+def test_silence_gives_a_number_up(spark, batches):
+    import time
+
+    stream = batches([[(1, 0, 10), (1, 2, 12)]], "key long, seq long, v long")
+    q = flows.in_order(stream, "key", "seq", "v", timeout_ms=1_000).writeStream.format("memory").queryName("silent").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("silent").count() < 3:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sorted((r.seq, r.status) for r in spark.table("silent").collect()) == [(0, "OK"), (1, "LOST"), (2, "OK")]
+
+
 def test_keyed_store(spark, batches):
     stream = batches([[(1, "WRITE", 7, 5), (2, "READ", 7, 0)], [(3, "WRITE", 7, 6), (4, "READ", 7, 0), (5, "READ", 8, 0)]], "slot long, op string, key long, value long")
     got = {r.slot: r.result for r in run(spark, flows.kv_reads(stream), "kv").collect()}
