@@ -1,4 +1,12 @@
-"""A training corpus from raw documents, in five stages, each written and read again as Parquet."""
+"""A training corpus from raw documents, in five stages, each written and read again as Parquet.
+
+All stages but the last keep the columns of the documents, whatever their names, and rows
+in any order. A row with a null id has no language label, is no copy and cannot be found
+by id, so it stays where its text alone decides; rows that repeat an id are judged each by
+its own text in language identification and substring dedup, and go together where an id
+is named (copies, benchmark items). Null and empty texts go with the language stage. Empty
+tables go through every stage.
+"""
 
 from __future__ import annotations
 
@@ -16,15 +24,18 @@ LEAST_CONFIDENCE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that can be told."""
+    """Keeps documents in a language that can be told; all of them where no document has a language to learn from."""
     model = langid.train(docs.where(is_training()))
-    told = docs.withColumn("_told", langid.prediction(spark, model, F.col("text")))
-    return told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= LEAST_CONFIDENCE)).select(*docs.columns)
+    if not model.languages:
+        return docs
+    told = "_" + max(docs.columns, key=len)  # longer than any other name
+    rows = docs.withColumn(told, langid.prediction(spark, model, F.col("text")))
+    return rows.where((F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") >= LEAST_CONFIDENCE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, linked at a Jaccard similarity of 0.8 of five-word shingles."""
-    copies = settle(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    copies = settle(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct())  # never a null id
     return docs.join(broadcast_if_small(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
