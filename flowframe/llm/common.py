@@ -5,29 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowframe.plans.placement import broadcast_if_small, checkpoint_dir, settle
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; in local mode a temporary one is set where none is named."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="flowframe-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared checkpoint folder and cuts its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["broadcast_if_small", "checkpoint_dir", "give_back", "is_training", "sample_fraction", "settle", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,26 +31,6 @@ def sample_fraction(key: Column, fraction: float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000) + 1)
 
 
-#: Rows and bytes up to which a side is broadcast; it is measured first, and shuffled beyond.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: those of its strings and arrays, and eight for any other column."""
-    size = F.lit(0)
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        kind = f.dataType.typeName()
-        size = size + F.coalesce(F.octet_length(c) + 8 if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(8), F.lit(8))
-    return size
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, to be broadcast if it has few rows and few bytes."""
-    n, held = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= most else df
-
-
 _KEPT: dict[str, object] = {}
 
 

@@ -660,6 +660,23 @@ def test_shards_of_running_writers_and_odd_names(spark, tmp_path):
     assert sharding.ShardStore(spark, str(tmp_path / "none")).compact() == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _told string, spans string"
+    r = random.Random(31)
+    prose = [" ".join(r.choice(PROSE["en"].split()) + str(r.randint(0, 9)) for _ in range(80)) for _ in range(4)]
+    rows = [(1, prose[0], "en", None, 1, "a", "b"), (2, prose[1], None, "s", None, None, None), (2, prose[2], "en", "s", 3, None, None), (None, prose[3], "en", "s", 4, None, None), (4, None, "en", None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        spark.createDataFrame([(1, item(1))], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+        for df in (docs, docs.where("false")):
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == docs.columns and out.count() == (0 if df is not docs else 4 if name == "language_id" else 5), name
+    assert corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == 5
+    assert corpus_pipeline.packed(spark, docs.where("false"), "").count() == 0
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 
