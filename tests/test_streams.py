@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,9 +7,14 @@ from flowframe.plans.spec import FlowSpec
 from flowframe.streaming import flows
 
 
-def run(spark, stream, name, mode="append"):
+def run(spark, stream, name, mode="append", rows=None):
+    """The stream's table once it ends, or has so many rows where timers keep it going."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    until = time.time() + 120
+    while not q.awaitTermination(1) and time.time() < until:
+        if rows is not None and spark.table(name).count() >= rows:
+            break
+    q.stop()
     return spark.table(name)
 
 
@@ -29,22 +36,20 @@ def test_stream_is_routed(spark, batches):
 
 def test_rows_come_in_order_with_losses(spark, batches):
     stream = batches([[(1, 0, 10), (1, 2, 12), (1, 1, 11), (1, 1, 99)], [(1, 5, 15), (1, 6, 16), (1, 0, 99)]], "key long, seq long, v long")
-    got = run(spark, flows.in_order(stream, "key", "seq", "v", limit=2), "ordered_rows").collect()
+    got = run(spark, flows.in_order(stream, "key", "seq", "v", limit=2, timeout_ms=600_000), "ordered_rows", rows=7).collect()
     assert sorted((r.seq, r.value, r.status) for r in got if r.value is not None) == [(0, 10, "OK"), (1, 11, "OK"), (2, 12, "OK"), (5, 15, "OK"), (6, 16, "OK")]
     assert sorted(r.seq for r in got if r.status == "LOST") == [3, 4]
 
 
 def test_closing_releases_what_waits(spark, batches):
     stream = batches([[(1, 0, 10, False), (1, 2, 12, False), (1, 5, None, True)], [(1, 3, 13, False), (1, 7, None, True), (2, 1, 1, False)]], "key long, seq long, v long, end boolean")
-    got = run(spark, flows.in_order(stream, "key", "seq", "v", last="end", sources=2), "closed_rows").collect()
+    got = run(spark, flows.in_order(stream, "key", "seq", "v", last="end", sources=2, timeout_ms=600_000), "closed_rows", rows=8).collect()
     own = sorted((r.seq, r.value, r.status) for r in got if r.key == 1)
     assert own == [(0, 10, "OK"), (1, None, "LOST"), (2, 12, "OK"), (3, 13, "OK"), (4, None, "LOST"), (5, None, "CLOSED"), (6, None, "LOST"), (7, None, "CLOSED")]
     assert not [r for r in got if r.key == 2]  # still open, and its first number may come
 
 
 def test_silence_gives_a_number_up(spark, batches):
-    import time
-
     stream = batches([[(1, 0, 10), (1, 2, 12)]], "key long, seq long, v long")
     q = flows.in_order(stream, "key", "seq", "v", timeout_ms=1_000).writeStream.format("memory").queryName("silent").outputMode("append").trigger(processingTime="500 milliseconds").start()
     try:
