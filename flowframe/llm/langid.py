@@ -8,6 +8,7 @@ are known.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_fraction, settle, worker_cache
+from .common import give_back, sample_fraction, settle, worker_cache
 
 #: Labelled documents a language that are learned from, about.
 DOCS_PER_LANGUAGE = 1_000
@@ -26,7 +27,7 @@ LONGEST = 5
 #: Words of evidence that count in full towards the confidence.
 EVIDENCE = 20
 #: Letters of a word that are cut into n-grams at once, and up to which an unseen word is remembered, by a worker, with so many others.
-PART, REMEMBER = 64, 200_000
+PART, REMEMBER = 64, 100_000
 #: Characters of text that are scored at once.
 CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,8 +69,8 @@ class Predictor:
     """Scores batches of texts against one table of known and of remembered unseen words."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.known = model, len(model.words)
-        self.index = dict(model.words)
+        self.model, self.index = model, dict(model.words)
+        self.remembered: list[str] = []
         self.rows = np.concatenate([model.word_rows, np.zeros((1_024, len(model.languages)))])
 
     def _learn(self, words: list[str]) -> None:
@@ -78,6 +79,7 @@ class Predictor:
             self.rows = np.concatenate([self.rows, np.zeros((max(to, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
         self.rows[at:to] = self.model.unseen(words)
         self.index.update(zip(words, range(at, to), strict=True))
+        self.remembered += words
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -97,8 +99,10 @@ class Predictor:
             return [("und", 0.0)] * len(texts)
         every = [w for words in texts for w in words]
         new = {w for w in set(every).difference(self.index) if len(w) <= PART}
-        if len(self.index) + len(new) > self.known + REMEMBER:
-            self.index = dict(self.model.words)
+        if len(self.remembered) + len(new) > REMEMBER:
+            for w in self.remembered:
+                del self.index[w]
+            self.remembered.clear()
             new = {w for w in set(every).difference(self.index) if len(w) <= PART}
         self._learn(sorted(new))
         at = np.array([self.index.get(w, -1) for w in every], np.int64)
@@ -185,15 +189,18 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, longest:
 
 def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """(lang_pred, score) of a text column as a struct; rows stay where they are."""
-    held = spark.sparkContext.broadcast(model)
+    # as bytes, since a worker keeps what a broadcast holds for as long as it lives
+    held = spark.sparkContext.broadcast(pickle.dumps(model))
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_cache("langid")
-        told = Predictor(held.value)
+        told = Predictor(pickle.loads(held.value))
         for texts in parts:
             got = told.predict([t.as_py() for t in texts])
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        del told
+        give_back()
 
     return predict(text.cast("string"))
 

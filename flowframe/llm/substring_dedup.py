@@ -284,6 +284,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
         buf = np.where(buf == 10, np.uint8(32), buf)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(buf)])
         numbers = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+        del words
         n = len(at) - window + 1
         whole = np.flatnonzero(line[:n] == line[window - 1 :])
         owner, place = doc[line[whole]], start[line[whole]] + whole - (np.cumsum(sizes) - sizes)[line[whole]]
@@ -300,6 +301,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
             raw, ends = buf.tobytes(), gaps[first + length - 1]
             told = [_digest(raw[a:b]) for a, b in zip(at[first].tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4")), pa.array(told, pa.binary())], ["doc_id", "start", "n", "digest"])
+        give_back()
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket long, ids binary, starts binary, lengths binary, words binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
