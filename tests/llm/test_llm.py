@@ -682,10 +682,15 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
 
     r = random.Random(11)
     rows = [(k, " ".join(r.choice(PROSE["en"].split()) + str(r.randint(0, 9)) for _ in range(80)), "en", "s", 400) for k in range(30)]
-    rows += [(100, rows[0][1], "en", "s", 400), (101, None, None, None, None), (102, rows[5][1] + " " + item(1), "en", "s", 9), (103, "own start here " + rows[7][1], "en", "s", 9)]
+    rows += [(100, rows[0][1], "en", "s", 400), (101, None, None, None, None), (102, rows[5][1] + " " + item(1), "en", "s", 9), (103, "own start here " + rows[7][1], "en", "s", 9), (104, rows[8][1] + " " + rows[9][1][::-1] + " own end", "en", "s", 9)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item(1))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
-    left = {x.doc_id for x in out.collect()}
-    assert set(range(30)) <= left and not left & {100, 101, 102} and 103 in left
+    left = {x.doc_id: x.length for x in out.collect()}
+    # 103 shares 76 of 79 five-word shingles with document 7, a near copy; 104 shares a passage only, which goes
+    assert set(range(30)) <= set(left) and not set(left) & {100, 101, 102, 103} and 104 in left
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(queries.tokenizer_path()).encode(rows[9][1][::-1] + " own end", add_special_tokens=False).ids
+    assert left[104] == len(ids) + 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
