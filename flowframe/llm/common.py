@@ -25,10 +25,13 @@ def is_training(doc_id: str | Column = "doc_id") -> Column:
 
 
 def sample_fraction(key: Column, fraction: float) -> Column:
-    """A sample by key that is the same on every run."""
+    """A sample by key that is the same on every run, down to shares of 1 in 10^12."""
     if fraction >= 1:
         return F.lit(True)
-    return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000) + 1)
+    whole = int(fraction * 1_000_000)
+    rest = int((fraction * 1_000_000 - whole) * 1_000_000) + 1
+    part = F.pmod(F.xxhash64(key), F.lit(1_000_000))
+    return (part < whole) | ((part == whole) & (F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000)) < rest))
 
 
 _KEPT: dict[str, object] = {}

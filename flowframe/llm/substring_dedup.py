@@ -9,11 +9,14 @@ window that also starts in an earlier document is removed. Equal hashes of diffe
 words only bring windows into one bucket; they never make windows equal.
 
 Copies meet early: a packed string that several documents of one batch hold travels
-once, for the earliest of them. Runs that are frequent in a sample of documents come last
-in the minimiser order, so that a line shared by very many documents does not gather all
-of their windows in one bucket; which runs those are changes only where a window is
-counted, never the result. The sample is a fixed share of large inputs, so what it misses
-stays below a fixed number of documents (about 40 / SAMPLE_SHARE) at every size.
+once, for the earliest of them. Runs that are frequent in a bounded sample of documents
+come last in the minimiser order, so that a line shared by very many documents does not
+gather all of their windows in one bucket; which runs those are changes only where a
+window is counted, never the result. A first pass over all texts adds up the bytes of each
+bucket. Buckets that the sample left too large for one task, at any size of the table, are
+not sorted in one: each of their windows becomes a row, Spark's aggregation (partial before
+the shuffle) finds the first document of every window by its words, and a join that splits
+skewed windows tells the others.
 
 A span is reported with a digest of its words and is cut only from rows that have these
 words there, so rows that repeat an id are judged each by its own text.
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, sample_fraction, settle, worker_cache
+from .common import broadcast_if_small, give_back, sample_fraction, settle, worker_cache
 
 WINDOW = 50
 MINIMISER = 8
@@ -38,8 +41,10 @@ MINIMISER = 8
 BUCKET_BYTES = 4 << 20
 #: Buckets that a task counts, one after the other, at most.
 BUCKETS_A_TASK = 16
-#: Documents sampled for frequent runs, or this share of them if that is more, and in how many sampled ones a run is frequent.
-SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT_DOCS = 4_000, 1 / 1_000, 20
+#: A bucket of more bytes than this many full ones is counted window by window, over many tasks.
+LARGE_BUCKETS = 4
+#: Documents sampled for frequent runs, in how many of them a run is frequent, and how many such runs, the commonest, tasks are sent (8 bytes each).
+SAMPLE_DOCS, FREQUENT_DOCS, FREQUENT_RUNS = 4_000, 20, 1 << 20
 #: Bytes of text that one task cuts.
 CUT_BYTES = 32 << 20
 #: Bytes of text handled at once.
@@ -115,13 +120,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _super_kmers(texts: list[list[bytes]], window: int, frequent: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(index of the document, first word, windows, minimiser, packed words) of each run of windows."""
+def _runs(texts: list[list[bytes]], window: int, frequent: np.ndarray) -> tuple[bytes, dict[str, np.ndarray]] | None:
+    """All words joined, and of each run of windows its document, first word, windows, minimiser, bytes from and to, and a hash of its words."""
     counts = np.array([len(t) for t in texts])
     total = int(counts.sum())
     m = min(MINIMISER, window)
     if total < window:
-        return
+        return None
     joined = b" ".join(w for t in texts for w in t)
     starts, ends, hashes = _words(np.frombuffer(joined, np.uint8))
     order = _run_hashes(hashes, m) >> np.uint64(1)
@@ -136,8 +141,23 @@ def _super_kmers(texts: list[list[bytes]], window: int, frequent: np.ndarray) ->
     heads = np.flatnonzero(new)
     stop = np.flatnonzero(np.concatenate([good[:-1] & (~good[1:] | new[1:]), good[-1:]]))
     first = np.cumsum(counts) - counts
-    for h, e, a, b, d in zip(heads.tolist(), stop.tolist(), starts[heads].tolist(), ends[stop + window - 1].tolist(), doc[heads].tolist(), strict=True):
-        yield d, h - int(first[d]), e - h + 1, int(least[h]) & 0x7FFFFFFFFFFFFFFF, joined[a:b]
+    return joined, {
+        "doc": doc[heads],
+        "first": heads - first[doc[heads]],
+        "windows": stop - heads + 1,
+        "least": least[heads].astype(np.int64) & 0x7FFFFFFFFFFFFFFF,
+        "from": starts[heads],
+        "to": ends[stop + window - 1],
+        "hash": _ONE.slices(hashes, heads, stop + window),
+    }
+
+
+def _super_kmers(texts: list[list[bytes]], window: int, frequent: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(index of the document, first word, windows, minimiser, packed words) of each run of windows."""
+    if (found := _runs(texts, window, frequent)) is not None:
+        joined, runs = found
+        for d, first, n, least, a, b in zip(*[runs[k].tolist() for k in ("doc", "first", "windows", "least", "from", "to")], strict=True):
+            yield d, first, n, least, joined[a:b]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]]]]:
@@ -157,7 +177,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]
 
 
 def _frequent_runs(docs: DataFrame, window: int, n_docs: int) -> np.ndarray:
-    """Hashes of runs found in many documents of a sample."""
+    """Hashes of runs found in many documents of a sample, the ``FREQUENT_RUNS`` commonest; others may share a bucket that grows large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,11 +188,31 @@ def _frequent_runs(docs: DataFrame, window: int, n_docs: int) -> np.ndarray:
                         own = np.unique(_run_hashes(h, min(MINIMISER, window)) >> np.uint64(1))
                         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], ["h"])
 
-    few = docs.where(sample_fraction(F.col("doc_id"), max(SAMPLE_DOCS / max(n_docs, 1), SAMPLE_SHARE)))
-    found = few.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DOCS)
+    few = docs.where(sample_fraction(F.col("doc_id"), SAMPLE_DOCS / max(n_docs, 1)))
+    found = few.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DOCS).orderBy(F.desc("count"), "h").limit(FREQUENT_RUNS)
     return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.uint64))
 
 
+def _bucket_bytes(docs: DataFrame, window: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, bytes): of the packed strings of each bucket, those that one batch repeats counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [np.zeros((0, 3), np.int64)]
+            for _, texts in _chunks(b):
+                if (found := _runs(texts, window, frequent)) is not None:
+                    runs = found[1]
+                    told.append(np.stack([runs["hash"].view(np.int64), runs["least"] % buckets, runs["to"] - runs["from"]], axis=1))
+            told = np.concatenate(told)
+            told = told[np.unique(told[:, 0], return_index=True)[1]]
+            own, at = np.unique(told[:, 1], return_inverse=True)
+            sizes = np.bincount(at, told[:, 2], len(own)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sizes)], ["bucket", "bytes"])
+        give_back()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+
+
 _SPANS = "doc_id long, start int, n int, digest binary"
 
 
@@ -203,6 +243,46 @@ def _same_as_before(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, win
     return rank, np.concatenate([[False], exact[rank][1:] == exact[rank][:-1]])
 
 
+def _window_spans(packed: DataFrame, window: int) -> DataFrame:
+    """As ``_SPANS``, of the windows of packed strings, without a task that holds all windows of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+
+        def made(rows: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "n", "digest", "words"])
+
+        rows, size = [], 0
+        for b in batches:
+            for i, s, lengths, words in zip(*[b.column(k).to_pylist() for k in ("ids", "starts", "lengths", "words")], strict=True):
+                i, s = np.frombuffer(i, "<i8").tolist(), np.frombuffer(s, "<i4").tolist()
+                if lengths is not None:  # spans told already
+                    rows.extend(zip(i, s, np.frombuffer(lengths, "<i4").tolist(), [words[k : k + 16] for k in range(0, len(words), 16)], [None] * len(i), strict=True))
+                    size += 40 * len(i)
+                else:
+                    for d, start, text in zip(i, s, open_.decompress(words).split(b"\n"), strict=True):
+                        ends = [*np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist(), len(text)]
+                        begins = [0, *(k + 1 for k in ends[:-1])]
+                        for k in range(len(ends) - window + 1):
+                            w = text[begins[k] : ends[k + window - 1]]
+                            rows.append((d, start + k, window, _digest(w), w))
+                            size += len(w)
+                            if size >= CHUNK:
+                                yield made(rows)
+                                rows, size = [], 0
+                if size >= CHUNK:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    windows = settle(packed.mapInArrow(run, f"{_SPANS}, words binary"))
+    shared = windows.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("last > least")
+    later = windows.join(shared, "words").where("doc_id > least")
+    return windows.where("words is null").select("doc_id", "start", "n", "digest").union(later.select("doc_id", "start", "n", "digest"))
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, size: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, start, n, digest): word spans that windows shared with an earlier document cover, with a digest of their words.
 
@@ -211,32 +291,33 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
     n_docs, n_bytes = size or docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = _frequent_runs(docs, window, n_docs)
     buckets = max(1, -(-3 * n_bytes // bucket_bytes))
+    large = settle(_bucket_bytes(docs, window, frequent, buckets).where(F.col("bytes") > LARGE_BUCKETS * bucket_bytes).select(F.col("bucket").alias("home"), F.lit(True).alias("large")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("substring_dedup")
         press = zstandard.ZstdCompressor(level=1)
         turn = 0
 
-        def flush(held: dict, local: list) -> Iterator[pa.RecordBatch]:
+        def flush(held: dict, local: dict) -> Iterator[pa.RecordBatch]:
             nonlocal turn
             by: dict[int, list] = {}
             for text, (d, starts, least) in held.items():
                 by.setdefault(least % buckets, []).extend((d, s, text) for s in starts)
             rows = [
-                (k, np.array([x[0] for x in v], "<i8").tobytes(), np.array([x[1] for x in v], "<i4").tobytes(), None, press.compress(b"\n".join(x[2] for x in v)))
+                (k, k, np.array([x[0] for x in v], "<i8").tobytes(), np.array([x[1] for x in v], "<i4").tobytes(), None, press.compress(b"\n".join(x[2] for x in v)))
                 for k, v in by.items()
             ]
-            if local:
+            for k, v in local.items():  # told already, so any task may pass them on
                 turn += 1
-                a = np.array([x[:3] for x in local], "<i8")
-                rows.append((hash((turn, int(a[0, 0]))) % buckets, a[:, 0].tobytes(), a[:, 1].astype("<i4").tobytes(), a[:, 2].astype("<i4").tobytes(), b"".join(x[3] for x in local)))
+                a = np.array([x[:3] for x in v], "<i8")
+                rows.append((k, hash((turn, int(a[0, 0]))) % buckets, a[:, 0].tobytes(), a[:, 1].astype("<i4").tobytes(), a[:, 2].astype("<i4").tobytes(), b"".join(x[3] for x in v)))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "ids", "starts", "lengths", "words"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:2]], *[pa.array(c, pa.binary()) for c in cols[2:]]], ["home", "bucket", "ids", "starts", "lengths", "words"])
 
         for b in batches:
             held: dict[bytes, list] = {}
-            local: list[tuple[int, int, int, bytes]] = []
+            local: dict[int, list[tuple[int, int, int, bytes]]] = {}
             size = 0
             for ids, texts in _chunks(b):
                 for i, start, n, least, text in _super_kmers(texts, window, frequent):
@@ -247,14 +328,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                     elif old[0] == d:
                         old[1].append(start)
                     elif old[0] < d:
-                        local.append((d, start, span, _digest(text)))
+                        local.setdefault(least % buckets, []).append((d, start, span, _digest(text)))
                     else:
                         told = _digest(text)
-                        local.extend((old[0], s, span, told) for s in old[1])
+                        local.setdefault(least % buckets, []).extend((old[0], s, span, told) for s in old[1])
                         old[0], old[1] = d, [start]
                 if size > 8 * bucket_bytes:
                     yield from flush(held, local)
-                    held, local, size = {}, [], 0
+                    held, local, size = {}, {}, 0
             yield from flush(held, local)
         give_back()
 
@@ -303,9 +384,17 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
             yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4")), pa.array(told, pa.binary())], ["doc_id", "start", "n", "digest"])
         give_back()
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket long, ids binary, starts binary, lengths binary, words binary")
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "home long, bucket long, ids binary, starts binary, lengths binary, words binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
-    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, _SPANS)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "ids", "starts", "lengths", "words").repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, _SPANS)
+
+    if large.isEmpty():
+        return counted(packed)
+    # the strings of a bucket and what was told of them while packing go one way, so packing twice need not batch alike
+    marked = packed.join(broadcast_if_small(large), "home", "left")
+    return counted(marked.where("large is null")).union(_window_spans(marked.where("large"), window))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:

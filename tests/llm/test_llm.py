@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowframe.llm import components, decontaminate, embedding_dedup, html_extract, langid, packing, queries, sharding, simhash, substring_dedup, toxicity, url_filter
+from flowframe.llm import common, components, decontaminate, embedding_dedup, html_extract, langid, packing, queries, sharding, simhash, substring_dedup, toxicity, url_filter
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (None, "no id here"), (4, "x" * 200_000), (5, "same words here"), (6, "same words here"), (6, "same words here")]
 SCHEMA = "doc_id long, text string"
@@ -52,6 +52,34 @@ def test_substring_dedup_with_frequent_runs(spark, monkeypatch):
     assert {r.doc_id: r.kept_text for r in got} == brute_substring(rows, 10)
 
 
+@pytest.mark.parametrize("large", [0, 1])
+def test_substring_dedup_of_large_buckets(spark, monkeypatch, large):
+    monkeypatch.setattr(substring_dedup, "LARGE_BUCKETS", large)
+    passage = " ".join(f"p{k}" for k in range(14))
+    rows = list(enumerate(texts(5))) + [(100 + k, f"a{k} {passage} b{k} {' '.join(f'c{k % 3}{j}' for j in range(15))}") for k in range(60)]
+    rows += [(200, " ".join([passage] * 3)), (201, f"{passage} {passage} end")]
+    size = (len(rows), sum(len(t) for _, t in rows))
+    whole = spark.createDataFrame(rows, SCHEMA)
+    sizes = substring_dedup._bucket_bytes(whole, 10, np.zeros(0, np.uint64), -(-3 * size[1] // 300))
+    assert sizes.where(f"bytes > {large * 300}").count() > 0
+    got = substring_dedup.substring_dedup(frame(spark, rows), 10, bucket_bytes=300).collect()
+    assert {r.doc_id: r.kept_text for r in got} == brute_substring(rows, 10)
+
+
+def test_substring_dedup_sends_few_frequent_runs(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FREQUENT_RUNS", 3)
+    rows = [(k, " ".join(f"w{j}" for j in range(30))) for k in range(60)]
+    assert len(substring_dedup._frequent_runs(spark.createDataFrame(rows, SCHEMA), 10, 60)) == 3
+    got = substring_dedup.substring_dedup(frame(spark, rows), 10).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {k: 30 * (k > 0) for k in range(60)}
+
+
+def test_small_samples_stay_small(spark):
+    rows = spark.range(400_000)
+    assert rows.where(common.sample_fraction(F.col("id"), 1e-9)).count() <= 1
+    assert 1_600 < rows.where(common.sample_fraction(F.col("id"), 0.005)).count() < 2_400
+
+
 def test_substring_dedup_edges(spark):
     got = substring_dedup.substring_dedup(frame(spark, EDGES), 2, keep=("start",)).collect()
     assert len(got) == len(EDGES) and all(r.start == "clash" for r in got)
