@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowframe.plans.placement import broadcast_if_small, checkpoint_dir, settle
 
-__all__ = ["broadcast_if_small", "checkpoint_dir", "give_back", "is_training", "sample_fraction", "settle", "table", "worker_cache"]
+__all__ = ["broadcast_if_small", "checkpoint_dir", "give_back", "is_training", "sample_fraction", "settle", "table", "tidy", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +56,16 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function from batches to batches, after which its memory goes back to the system.
+
+    ``run`` itself can't do that: all it holds is in use until it has returned.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, settle, worker_cache
+from .common import settle, tidy, worker_cache
 
 CAPACITY = 4096
 #: Pieces that one group packs together.
@@ -137,9 +137,8 @@ def _pieces(path: str, end_id: int, capacity: int):
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        give_back()
 
-    return run
+    return tidy(run)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, give_back, settle, worker_cache
+from .common import broadcast_if_small, settle, tidy, worker_cache
 from .components import connected_components, forest
 
 RADIUS = 3
@@ -65,9 +65,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column(1).cast(pa.binary())
             fps = [fingerprint(t.as_py(), shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def sliced_pairs(values: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, chunk: int = 32_768) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -290,7 +289,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fps.append(_majority(hashes))
                 bands.append(_bands(np.array(hashes, np.uint64), BANDS, ROWS) if words else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands"])
-        give_back()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,7 +303,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[label[own]], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    told = settle(rows.mapInArrow(sketch, "doc_id long, same binary, fp long, bands array<long>"))
+    told = settle(rows.mapInArrow(tidy(sketch), "doc_id long, same binary, fp long, bands array<long>"))
     distinct = settle(told.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
     prints = settle(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
     keyed = distinct.select("rep", F.explode("bands").alias("key"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, give_back, sample_fraction, settle, worker_cache
+from .common import broadcast_if_small, sample_fraction, settle, tidy, worker_cache
 
 WINDOW = 50
 MINIMISER = 8
@@ -189,7 +189,7 @@ def _frequent_runs(docs: DataFrame, window: int, n_docs: int) -> np.ndarray:
                         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], ["h"])
 
     few = docs.where(sample_fraction(F.col("doc_id"), SAMPLE_DOCS / max(n_docs, 1)))
-    found = few.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DOCS).orderBy(F.desc("count"), "h").limit(FREQUENT_RUNS)
+    found = few.mapInArrow(tidy(run), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_DOCS).orderBy(F.desc("count"), "h").limit(FREQUENT_RUNS)
     return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.uint64))
 
 
@@ -208,9 +208,8 @@ def _bucket_bytes(docs: DataFrame, window: int, frequent: np.ndarray, buckets: i
             own, at = np.unique(told[:, 1], return_inverse=True)
             sizes = np.bincount(at, told[:, 2], len(own)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sizes)], ["bucket", "bytes"])
-        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
 
 
 _SPANS = "doc_id long, start int, n int, digest binary"
@@ -277,7 +276,7 @@ def _window_spans(packed: DataFrame, window: int) -> DataFrame:
         if rows:
             yield made(rows)
 
-    windows = settle(packed.mapInArrow(run, f"{_SPANS}, words binary"))
+    windows = settle(packed.mapInArrow(tidy(run), f"{_SPANS}, words binary"))
     shared = windows.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("last > least")
     later = windows.join(shared, "words").where("doc_id > least")
     return windows.where("words is null").select("doc_id", "start", "n", "digest").union(later.select("doc_id", "start", "n", "digest"))
@@ -337,9 +336,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                     yield from flush(held, local)
                     held, local, size = {}, {}, 0
             yield from flush(held, local)
-        give_back()
 
-    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         ids, starts, texts = [], [], []
         for b in batches:
@@ -382,9 +380,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
             raw, ends = buf.tobytes(), gaps[first + length - 1]
             told = [_digest(raw[a:b]) for a, b in zip(at[first].tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[hit[heads]]), pa.array(place[hit[heads]].astype("i4")), pa.array(length.astype("i4")), pa.array(told, pa.binary())], ["doc_id", "start", "n", "digest"])
-        give_back()
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "home long, bucket long, ids binary, starts binary, lengths binary, words binary")
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tidy(spans)(batches)
+
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(pack), "home long, bucket long, ids binary, starts binary, lengths binary, words binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
 
     def counted(rows: DataFrame) -> DataFrame:
@@ -434,11 +434,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 gone.append(n - len(words))
             made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, "kept_text", "n_words", "n_removed"])
-        give_back()
 
     # as many parts as the texts need, so that a task's share doesn't grow with the table
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // CUT_BYTES))
     joined = rows.repartition(parts, "doc_id").join(spans.repartition(parts, "doc_id"), "doc_id", "left").select(*names, "text", "spans")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
-    out = joined.mapInArrow(cut, f"{schema}, kept_text string, n_words long, n_removed long")
+    out = joined.mapInArrow(tidy(cut), f"{schema}, kept_text string, n_words long, n_removed long")
     return out.select("doc_id", *[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "kept_text", "n_words", "n_removed")
